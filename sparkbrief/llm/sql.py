@@ -35,3 +35,35 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
 FROM z GROUP BY rid
 """
+
+op5_passages = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+k AS (SELECT rid, doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+g AS (SELECT rid, list(i) AS s FROM k JOIN f USING (h) WHERE doc_id > first GROUP BY rid),
+r AS (SELECT rid, list_distinct(flatten(list_transform(s, lambda i: range(i, i + 50)))) AS gone FROM g),
+u AS (SELECT d.rid, d.doc_id, w, unnest(range(1, greatest(len(w), 1) + 1)) AS i FROM d),
+x AS (SELECT rid, unnest(gone) AS i, true AS gone FROM r)
+SELECT any_value(u.doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(*) FILTER (x.gone) AS n_removed,
+       sha256(coalesce(string_agg(w[u.i], ' ' ORDER BY u.i) FILTER (x.gone IS NULL), '')) AS kept_sha256
+FROM u LEFT JOIN x ON u.rid = x.rid AND u.i = x.i GROUP BY u.rid
+"""
+
+_FOLDED = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+op8_contamination = rf"""
+WITH b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_FOLDED} AS w FROM documents),
+p AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+z AS (SELECT DISTINCT n FROM v),
+x AS (SELECT rid, i, z.n, array_to_string(list_slice(w, i, i + z.n - 1), ' ') AS k FROM p, z WHERE i + z.n - 1 <= len(w)),
+h AS (SELECT rid, i, x.n, item_id FROM x JOIN v ON x.k = v.k AND x.n = v.n),
+c AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS q FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
+FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN t ON d.rid = t.rid
+"""
