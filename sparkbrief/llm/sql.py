@@ -67,3 +67,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
 FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN t ON d.rid = t.rid
 """
+
+
+_HOST = r"""translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_PATH = r"""regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"""
+
+
+def _rule(of: str, what: int) -> str:
+    host, path = _HOST.format(of), _PATH.format(of)
+    rules = (("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block"))
+    cases = " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, v)[what]}'" for h, p, v in rules)
+    return f"CASE {cases} END"
+
+
+def _normal(of: str) -> str:
+    query = rf"regexp_replace(regexp_replace(regexp_extract({of}, '(?s)^[^?#]*\?([^#]*)', 1), '(?:^|&)(?:utm_[A-Za-z]+|gclid|fbclid|ref)=[^&]*', '', 'g'), '^&', '')"
+    return rf"CASE WHEN contains({of}, '://') THEN '//' || regexp_replace({_HOST.format(of)}, ':(?:80|443)$', '') || regexp_replace({_PATH.format(of)}, '/$', '') || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
+
+
+op2_url_rules = rf"""
+WITH RECURSIVE n AS (
+  SELECT url, html, {_normal("url")} AS key FROM pages WHERE url IS NOT NULL),
+l AS (SELECT url, key, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical["''\s>][^>]*>?') AS a, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["''\s>][^>]*>?') AS m FROM n),
+t AS (SELECT key, regexp_extract(a, '(?is)\bhref\s*=\s*["'']?([^\s"''>]+)', 1) AS target FROM l UNION ALL SELECT key, regexp_extract(m, '(?is)url\s*=\s*[''"]?([^''"\s>;]+)', 1) FROM l),
+k AS (SELECT key, target, {_normal("target")} AS to_key FROM t WHERE contains(target, '://')),
+e AS (SELECT url AS a, key AS b FROM n WHERE key IS NOT NULL UNION SELECT key, to_key FROM k UNION SELECT target, to_key FROM k),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT DISTINCT a AS node, a AS peer FROM s UNION SELECT c.node, s.b FROM c JOIN s ON c.peer = s.a),
+v AS (SELECT node, bool_or(coalesce({_rule("peer", 1)} = 'block', false)) AND NOT bool_or(coalesce({_rule("peer", 1)} = 'allow', false)) AS bad FROM c GROUP BY node)
+SELECT page_id, coalesce({_HOST.format("url")}, '') AS host, coalesce({_PATH.format("url")}, '') AS path, {_rule("url", 0)} AS rule,
+       coalesce({_rule("url", 1)}, CASE WHEN v.bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN v ON pages.url = v.node
+"""
