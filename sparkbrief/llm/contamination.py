@@ -96,14 +96,14 @@ def _scan(pats: dict[bytes, tuple[int, list[str]]]):
                 hits.append(mine)
                 items.append(sorted(names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), texts, pa.array(words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "hits", "items"],
+                [batch.column(0), texts, pa.array(words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string())), *batch.columns[5:]],
+                names=batch.schema.names,
             )
 
     return run
 
 
-def _digest(with_spans: bool):
+def _digest(with_spans: bool, kept: list[tuple[str, str]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_hit, shas, spans, counts = [], [], [], []
@@ -120,9 +120,9 @@ def _digest(with_spans: bool):
             if with_spans:
                 cols += [batch.column(4), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
                 names += ["items", "spans"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols + batch.columns[5:], names=names + batch.schema.names[5:])
 
-    return run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string" + (", items array<string>, spans array<array<int>>" if with_spans else "")
+    return run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string" + (", items array<string>, spans array<array<int>>" if with_spans else "") + "".join(f", {c} {kind}" for c, kind in kept)
 
 
 def _join(runs: list[list[int]]) -> list[tuple[int, int]]:
@@ -144,18 +144,21 @@ def _offsets(text: str, runs: list[tuple[int, int]]) -> list[list[int]]:
     return [[len(raw[: at[a][0]].decode()), len(raw[: at[b - 1][1]].decode())] for a, b in runs]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 8 << 20, max_blocks: int = 16, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", with_spans: bool = True) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 8 << 20, max_blocks: int = 16, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", with_spans: bool = True, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit (words inside a match), n_items, items_sha256, contaminated and, if
-    asked for, ``items`` and ``spans`` (maximal runs of hit words as code point intervals of the original text).
+    asked for, ``items`` and ``spans`` (maximal runs of hit words as code point intervals of the original text), and the
+    columns named in ``keep``.
 
     An item of fewer than ``width`` words, but not none, is one window. Null and empty texts have no words and are
     never contaminated. Repeated rows each come back; repeated items count once. An empty benchmark hits nothing, an
     empty table gives an empty result. Other columns are ignored.
     """
-    none = "cast(null as array<array<int>>) hits", "cast(null as array<string>) items"
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).selectExpr("doc_id", "text", "0L n_words", *none)
+    keep = keep or []
+    none = [F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<array<int>>").alias("hits"), F.lit(None).cast("array<string>").alias("items")]
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *none, *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)))
+    plain = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
     for block in blocks(benchmark, item, item_text, block_bytes, max_blocks):
-        rows = rows.mapInArrow(_scan(patterns(block, width)), rows.schema)
-    run, schema = _digest(with_spans)
-    out = rows.mapInArrow(run, schema)
+        rows = rows.mapInArrow(_scan(patterns(block, width)), plain)
+    run, schema = _digest(with_spans, rows.dtypes[5:])
+    out = rows.mapInArrow(run, schema).withColumnsRenamed({f"keep_{i}": k for i, k in enumerate(keep)})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

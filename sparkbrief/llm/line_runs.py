@@ -138,33 +138,43 @@ def dropped_lines(docs: DataFrame, store: Store, min_chars: int = 20, min_docs:
     return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines"))
 
 
-def strip_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = True) -> DataFrame:
-    """``docs`` with doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, ``kept`` (the text without its dropped lines)."""
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept string" if with_text else "")
-    joined = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(lines, "doc_id", "left").select("doc_id", "text", "lines")
+def strip_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256), if asked for ``kept`` (the text without its dropped lines, null for a null
+    text), and the columns named in ``keep``."""
+    keep = keep or []
+    kept_cols = [F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)]
+    joined = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *kept_cols).join(lines, "doc_id", "left")
+    joined = joined.select("doc_id", "text", "lines", *(f"keep_{i}" for i in range(len(keep))))
+    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", {c} {kind}" for c, kind in joined.dtypes[3:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             data, off = utf8(piece.column(1))
             raw = data.tobytes()
-            drop = piece.column(2)
+            known, drop = piece.column(1).is_valid().to_pylist(), piece.column(2)
             total, gone, sums, kept = [], [], [], []
             for i in range(piece.num_rows):
                 body = raw[off[i] : off[i + 1]]
                 total.append(body.count(b"\n") + 1)
                 numbers = drop[i].as_py()
-                gone.append(len(numbers) if numbers else 0)
+                lost = 0
                 if numbers:
                     out = set(numbers)
-                    body = b"\n".join(x for k, x in enumerate(body.split(b"\n")) if k not in out)
+                    stay = [x for k, x in enumerate(body.split(b"\n")) if k not in out]
+                    lost = total[-1] - len(stay)
+                    body = b"\n".join(stay)
+                gone.append(lost)
                 sums.append(hashlib.sha256(body).hexdigest())
                 if with_text:
-                    kept.append(body.decode())
+                    kept.append(body.decode() if known[i] else None)
             cols = [piece.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())]
             names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.string())] if with_text else []), names=names + (["kept"] if with_text else []))
+            if with_text:
+                cols.append(pa.array(kept, pa.string()))
+                names.append("kept")
+            yield pa.RecordBatch.from_arrays(cols + piece.columns[3:], names=names + piece.schema.names[3:])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).withColumnsRenamed({f"keep_{i}": k for i, k in enumerate(keep)})
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 2, text: str = "text", key: str = "doc_id", with_text: bool = True) -> DataFrame:
