@@ -231,7 +231,9 @@ def find(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", key:
         total = found.count()
         share = F.col("n_et") / F.col("n_t")
         bits = F.log2(share * F.lit(float(total)) / F.col("n_e"))
-        telling = together.join(terms.join(of_term, "h").select("t", "n_t"), "t").join(of_entity, "e").where((share >= d.share) & (bits >= d.bits))
+        # written first: joined tables whose sides are plain scans can be split where a term or an entity is very common
+        of_term, of_entity = store.put(terms.join(of_term, "h").select("t", "n_t"), "terms"), store.put(of_entity, "entities")
+        telling = together.join(of_term, "t").join(of_entity, "e").where((share >= d.share) & (bits >= d.bits))
         telling = store.put(telling.select("e", "t", F.when(share >= d.remove, ADDED[0]).otherwise(ADDED[1]).alias("kind")), "telling")
         added = pairs.join(telling, ["e", "t"]).groupBy("row").agg(F.collect_set(F.struct("kind", "a", "b")).alias("added"))
     none = F.array().cast("array<struct<kind:string,a:int,b:int>>")
