@@ -32,7 +32,7 @@ from ._words import U64, Chunk, mix, pieces, powers, roll, signed
 @dataclass(frozen=True)
 class Join:
     """``n`` words a token, ``threshold`` of similarity, ``recall`` of links at the threshold itself, ``paths`` sampled
-    tokens a run and level, ``bucket`` and ``block`` sizes, ``sketch`` length, ``depth`` of paths."""
+    tokens a run and level, ``bucket`` and ``block`` sizes, ``sketch`` length, ``depth`` of paths, ``max_listed`` ids that may be sent to the executors."""
 
     n: int = 5
     threshold: float = 0.8
@@ -42,6 +42,7 @@ class Join:
     block: int = 256
     sketch: int = 48
     depth: int = 3
+    max_listed: int = 1_000_000
 
     @property
     def runs(self) -> int:
@@ -63,56 +64,86 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _sets(n: int):
-    """doc_id -> its tokens, sorted and distinct, and two hashes of the whole set."""
+def _token_sets(piece: pa.RecordBatch, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each text its tokens, sorted and distinct, and two hashes of the whole set."""
+    c = Chunk(piece.column(piece.schema.get_field_index("text")))
+    h = c.word_hashes(0)
+    grams = roll(h, n) if len(h) >= n else np.zeros(0, U64)
+    sets, sums = [], np.zeros((2, len(c)), U64)
+    for i in range(len(c)):
+        a, b = c.first[i], c.first[i + 1]
+        if b - a >= n:
+            t = np.unique(grams[a : b - n + 1])
+        elif b > a:
+            # a text of fewer words than a token is one token
+            t = mix((h[a:b] * powers(0, b - a)).sum(keepdims=True), 1000 + int(b - a))
+        else:
+            t = np.zeros(0, U64)
+        sets.append(t)
+        for w in (0, 1):
+            sums[w, i] = mix(t, 40 + w).sum(dtype=U64)
+    return sets, sums
+
+
+def _signatures(j: Join):
+    """doc_id -> size and two hashes of its set, the paths of level 1 and the sketch; the tokens themselves are not kept."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            c = Chunk(piece.column(1))
-            h = c.word_hashes(0)
-            grams = roll(h, n) if len(h) >= n else np.zeros(0, U64)
-            sets, sums = [], np.zeros((2, len(c)), U64)
-            for i in range(len(c)):
-                a, b = c.first[i], c.first[i + 1]
-                if b - a >= n:
-                    t = np.unique(grams[a : b - n + 1])
-                elif b > a:
-                    # a text of fewer words than a token is one token
-                    t = mix((h[a:b] * powers(0, b - a)).sum(keepdims=True), 1000 + int(b - a))
-                else:
-                    t = np.zeros(0, U64)
-                sets.append(t)
-                for w in (0, 1):
-                    sums[w, i] = mix(t, 40 + w).sum(dtype=U64)
-            counts = np.array([len(t) for t in sets])
-            yield pa.RecordBatch.from_arrays([piece.column(0), _lists(signed(np.concatenate(sets)), counts), *(pa.array(signed(s)) for s in sums)], names=["doc_id", "tokens", "k1", "k2"])
-
-    return run, "doc_id long, tokens array<long>, k1 long, k2 long"
+            sets, sums = _token_sets(piece, j.n)
+            sizes = np.array([len(t) for t in sets])
+            tokens = np.concatenate(sets)
+            # a token is taken where its hash is below paths / size: the larger set of a pair decides
+            bound = np.repeat(np.minimum(j.paths / np.maximum(sizes, 1), 1.0) * 2.0**64, sizes)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            docs, paths = [], []
+            for r in range(j.runs):
+                h = mix(tokens, 100 + r)
+                at = np.flatnonzero(h.astype(np.float64) < bound)
+                docs.append(doc[at])
+                paths.append(mix(h[at], 7))
+            docs, paths = np.concatenate(docs), np.concatenate(paths)
+            order = np.argsort(docs, kind="stable")
+            sketch = [(t[: j.sketch] >> U64(32)).astype(np.uint32).view(np.int32) for t in sets]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), pa.array(sizes.astype(np.int32)), *(pa.array(signed(x)) for x in sums), _lists(signed(paths[order]), np.bincount(docs, minlength=len(sizes))), _lists(np.concatenate(sketch), np.array([len(x) for x in sketch]))],
+                names=["doc_id", "size", "k1", "k2", "paths", "sketch"],
+            )
 
+    return run, "doc_id long, size int, k1 long, k2 long, paths array<long>, sketch array<int>"
 
-def _arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets from 0, values) of a list column, as unsigned longs."""
-    off = np.asarray(col.offsets).astype(np.int64)
-    values = np.asarray(col.values)[off[0] : off[-1]]
-    return off - off[0], values.view(np.uint64) if values.dtype == np.int64 else values
 
+def _tokens_of(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
+    """(doc_id, k1, k2, tokens) of the documents listed in ``wanted`` (doc_id), read from their texts again.
 
-def _first_buckets(j: Join):
-    """The buckets of level 1: a row for each sampled token and run."""
+    While the list is short it goes to the executors and no text moves; beyond ``max_listed`` texts are joined with it.
+    """
+    wanted = wanted.select("doc_id").distinct()
+    listed = None
+    if wanted.count() <= j.max_listed:
+        # at most max_listed numbers
+        listed = np.sort(wanted.toArrow().column("doc_id").to_numpy())
+    else:
+        docs = docs.join(wanted, "doc_id", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off, tokens = _arrays(batch.column(1))
-            sizes = np.diff(off)
-            # a token is taken where its hash is below paths / size: the larger set of a pair decides
-            bound = np.repeat(np.minimum(j.paths / np.maximum(sizes, 1), 1.0) * 2.0**64, sizes)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            for r in range(j.runs):
-                h = mix(tokens, 100 + r)
-                at = np.flatnonzero(h.astype(np.float64) < bound)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array(signed(mix(h[at], 7)))], names=["doc_id", "path"])
+            if listed is not None:
+                ids = batch.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(listed, ids), max(len(listed) - 1, 0))
+                batch = batch.filter(pa.array(listed[at] == ids if len(listed) else np.zeros(len(ids), bool)))
+            for piece in pieces([batch], "text"):
+                sets, sums = _token_sets(piece, j.n)
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(signed(x)) for x in sums), _lists(signed(np.concatenate(sets)), np.array([len(t) for t in sets]))], names=["doc_id", "k1", "k2", "tokens"])
 
-    return run, "doc_id long, path long"
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, tokens array<long>")
+
+
+def _arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, values) of a list column, as unsigned longs."""
+    off = np.asarray(col.offsets).astype(np.int64)
+    values = np.asarray(col.values)[off[0] : off[-1]]
+    return off - off[0], values.view(np.uint64 if values.dtype == np.int64 else np.uint32)
 
 
 def _next_buckets(j: Join, level: int):
@@ -282,14 +313,13 @@ def _in_cells(rows: DataFrame) -> DataFrame:
     return rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
 
 
-def _leaves(sets: DataFrame, j: Join, store: Store) -> DataFrame:
+def _leaves(docs: DataFrame, reps: DataFrame, j: Join, store: Store) -> DataFrame:
     """(group, doc_id, n) of the buckets to compare, of all runs and levels."""
-    run, schema = _first_buckets(j)
-    rows = store.put(sets.select("doc_id", "tokens").mapInArrow(run, schema), "buckets")
-    rows = rows.withColumn("parent_n", F.lit(1 << 62))
+    rows = reps.select("doc_id", F.explode("paths").alias("path"), F.lit(1 << 62).alias("parent_n"))
     out = None
     for level in range(1, j.depth + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.max("parent_n").alias("pn")).where("n > 1")
+        # sizes are written before they are joined: a join of plain scans can be split where a bucket is very large
+        sizes = store.put(rows.groupBy("path").agg(F.count("*").alias("n"), F.max("parent_n").alias("pn")).where("n > 1"), "sizes")
         rows = store.put(rows.select("doc_id", "path").join(sizes, "path"), "sized")
         last = F.lit(level == j.depth)
         leaf = (F.col("n") <= j.bucket) | (2 * F.col("n") > F.col("pn")) | last
@@ -300,9 +330,11 @@ def _leaves(sets: DataFrame, j: Join, store: Store) -> DataFrame:
             break
         paths = large.groupBy("doc_id").agg(F.collect_set("path").alias("paths"))
         run, schema = _next_buckets(j, level)
+        # rows that share a doc_id are told apart by the hashes of their sets
+        sets = _tokens_of(docs, large, j).join(reps.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
         children = sets.select("doc_id", "tokens").join(paths, "doc_id").mapInArrow(run, schema)
-        parents = large.select(F.col("path").alias("parent"), F.col("n").alias("parent_n")).distinct()
-        rows = children.distinct().join(parents, "parent").select("doc_id", "path", "parent_n")
+        parents = store.put(large.select(F.col("path").alias("parent"), F.col("n").alias("parent_n")).distinct(), "parents")
+        rows = store.put(children.distinct().join(parents, "parent").select("doc_id", "path", "parent_n"), "buckets")
     return out
 
 
@@ -315,23 +347,24 @@ def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: s
     Repeated rows are copies of each other. Rows without a key are left out. An empty table gives an empty result.
     """
     store = Store(docs.sparkSession, "chosen-path")
-    run, schema = _sets(j.n)
+    run, schema = _signatures(j)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    all_sets = store.put(rows.mapInArrow(run, schema).withColumn("size", F.size("tokens")), "sets")
+    signatures = store.put(rows.mapInArrow(run, schema), "signatures")
     same = ["k1", "k2", "size"]
-    classes = store.put(all_sets.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("weight")), "classes")
+    classes = store.put(signatures.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("weight")), "classes")
     # one set of each class, by its least document
-    reps = classes.select(F.col("copy_id").alias("doc_id"), "weight", *same)
-    sets = store.put(all_sets.join(reps, ["doc_id", *same]).dropDuplicates(["doc_id", *same]).select("doc_id", "weight", "tokens"), "representatives")
+    reps = signatures.join(classes.withColumnRenamed("copy_id", "doc_id"), ["doc_id", *same])
+    reps = store.put(reps.dropDuplicates(["doc_id", *same]), "representatives")
 
-    leaves = _leaves(sets, j, store)
-    sketches = sets.select("doc_id", F.slice("tokens", 1, j.sketch).alias("sketch"))
-    cells = _in_cells(_blocked(leaves.join(sketches, "doc_id"), j.block).select("group", "x", "y", "side", "doc_id", "sketch"))
+    leaves = _leaves(rows, reps, j, store)
+    cells = _in_cells(_blocked(leaves.join(reps.select("doc_id", "sketch"), "doc_id"), j.block).select("group", "x", "y", "side", "doc_id", "sketch"))
     run, schema = _candidates(j)
     families = store.put(connected_components(cells.mapInArrow(run, schema), store), "families")
 
-    sizes = families.groupBy("root").agg(F.count("*").alias("n"))
-    members = families.join(sizes, "root").select(F.col("root").alias("group"), F.col("node").alias("doc_id"), "n").join(sets, "doc_id")
+    sizes = store.put(families.groupBy("root").agg(F.count("*").alias("n")), "family-sizes")
+    members = families.join(sizes, "root").select(F.col("root").alias("group"), F.col("node").alias("doc_id"), "n")
+    members = members.join(reps.select("doc_id", "weight", "k1", "k2"), "doc_id")
+    members = members.join(_tokens_of(rows, families.select(F.col("node").alias("doc_id")), j), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
     run, schema = _verify(j)
     cells = _in_cells(_blocked(members, j.block).select("group", "x", "y", "side", "doc_id", "weight", "tokens"))
     found = store.put(cells.mapInArrow(run, schema), "links")
@@ -340,5 +373,5 @@ def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: s
 
     verdicts = classes.join(links, "copy_id", "left").join(groups, "copy_id", "left")
     verdicts = verdicts.select(*same, "copy_id", F.coalesce("root", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = all_sets.select("doc_id", *same).join(verdicts, same, "left")
+    out = signatures.select("doc_id", *same).join(verdicts, same, "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
