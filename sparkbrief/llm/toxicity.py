@@ -27,7 +27,7 @@ from ._words import _BYTE, LOWER, SPACE, U64, mix, pieces, powers, utf8
 @dataclass(frozen=True)
 class Training:
     max_rows: int = 6000
-    max_bytes: int = 12 << 20
+    max_bytes: int = 10 << 20
     bits: int = 17
     dim: int = 4
     lengths: tuple[int, ...] = (3, 5, 7)
@@ -96,11 +96,12 @@ def ngrams(arr: pa.Array, lengths: Iterable[int], bits: int) -> Iterator[tuple[n
 
 def bags(arr: pa.Array, t: Training) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text the buckets and their shares."""
-    parts = list(ngrams(arr, t.lengths, t.bits))
     out = []
-    for i in range(len(arr)):
-        b, c = np.unique(np.concatenate([h[e[i] : e[i + 1]] for e, h in parts]), return_counts=True)
-        out.append((b.astype(np.int32), (c / (c.sum() + t.smooth)).astype(np.float32)))
+    for piece in pieces([pa.RecordBatch.from_arrays([arr], names=["text"])], "text", 1 << 20):
+        parts = list(ngrams(piece.column(0), t.lengths, t.bits))
+        for i in range(piece.num_rows):
+            b, c = np.unique(np.concatenate([h[e[i] : e[i + 1]] for e, h in parts]), return_counts=True)
+            out.append((b.astype(np.int32), (c / (c.sum() + t.smooth)).astype(np.float32)))
     return out
 
 
@@ -126,7 +127,7 @@ def train(texts: pa.Array, labels: np.ndarray, t: Training = Training()) -> Mode
             bucket = np.concatenate([docs[i][0] for i in part])
             weight = np.concatenate([docs[i][1] for i in part])
             ends = np.cumsum([len(docs[i][0]) for i in part])
-            doc = np.repeat(np.arange(len(part)), np.diff(np.concatenate([[0], ends])))
+            doc = np.repeat(np.arange(len(part), dtype=np.int32), np.diff(np.concatenate([[0], ends])))
             z = np.bincount(doc, weight * (table @ head)[bucket], minlength=len(part))
             prob = 1 / (1 + np.exp(-np.clip(bias + t.scale * z, -60, 60)))
             err = (prob - y[part]) / len(part)
