@@ -1,7 +1,7 @@
 """Parent links: lineage, active branch, and checks of the whole forest.
 
 Paths are found by pointer doubling: each round doubles how far every entry sees, so a path of n entries takes log2 n joins
-and no session is gathered in one task. Cycles show as entries that still see an ancestor after enough rounds.
+and no session is gathered in one task. Every round is written, since the next reads it twice. Cycles show as entries that still see an ancestor after enough rounds.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.shared import written
+
 KEY = ["session_id", "entry_id"]
 
 
@@ -45,20 +47,22 @@ def _rounds(n: DataFrame) -> int:
 
 def in_cycles(blocks: DataFrame) -> DataFrame:
     """(session_id, entry_id) of entries whose path up never ends."""
-    n = orphans_to_roots(nodes(blocks))
+    n = written(orphans_to_roots(nodes(blocks)), "nodes")
     up = n.where("parent_id is not null").select(*KEY, F.col("parent_id").alias("far"))
     for _ in range(_rounds(n)):
-        up = up.join(up.select("session_id", F.col("entry_id").alias("far"), F.col("far").alias("farther")), ["session_id", "far"]).select(*KEY, F.col("farther").alias("far"))
+        up = written(up.join(up.select("session_id", F.col("entry_id").alias("far"), F.col("far").alias("farther")), ["session_id", "far"]).select(*KEY, F.col("farther").alias("far")), "up")
+        if up.isEmpty():
+            break
     return up.select(*KEY)
 
 
 def depths(blocks: DataFrame) -> DataFrame:
     """(session_id, entry_id, seq, depth, root): entries on the way up; those in or above cycles are left out."""
-    n = orphans_to_roots(nodes(blocks))
+    n = written(orphans_to_roots(nodes(blocks)), "nodes")
     d = n.select(*KEY, "seq", F.col("parent_id").alias("far"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("parent_id", "entry_id").alias("root"))
     for _ in range(_rounds(n)):
         o = d.select("session_id", F.col("entry_id").alias("far"), F.col("far").alias("f2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
-        d = d.join(o, ["session_id", "far"], "left").select(*KEY, "seq", F.col("f2").alias("far"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
+        d = written(d.join(o, ["session_id", "far"], "left").select(*KEY, "seq", F.col("f2").alias("far"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root")), "depths")
     return d.where("far is null").drop("far")
 
 
@@ -68,15 +72,19 @@ def lineage(blocks: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     ``leaves`` (session_id, entry_id): one a session, the last entry if not given. A path that meets a missing parent or a cycle is an
     error of ``check``; here it ends there. By doubling: who is reached in 2**k steps from a leaf reaches on.
     """
-    n = orphans_to_roots(nodes(blocks))
+    n = written(orphans_to_roots(nodes(blocks)), "nodes")
     leaves = n.groupBy("session_id").agg(F.max_by("entry_id", "seq").alias("entry_id")) if leaves is None else leaves.select(*KEY)
     jump = n.where("parent_id is not null").select(*KEY, F.col("parent_id").alias("far"))
-    reached = leaves.join(n.select(*KEY), KEY, "left_semi")
-    for _ in range(_rounds(n)):
-        reached = reached.unionByName(reached.join(jump, KEY).select("session_id", F.col("far").alias("entry_id"))).distinct()
-        jump = jump.join(jump.select("session_id", F.col("entry_id").alias("far"), F.col("far").alias("f2")), ["session_id", "far"]).select(*KEY, F.col("f2").alias("far"))
-    path = n.join(reached, KEY, "left_semi").join(depths(blocks).select(*KEY, "depth"), KEY, "left")
-    return path.withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("depth").asc_nulls_last(), "seq")) - 1).select(*KEY, "seq", "pos")
+    # of those reached, how many steps from the leaf
+    reached = leaves.join(n.select(*KEY), KEY, "left_semi").withColumn("steps", F.lit(0))
+    for k in range(_rounds(n)):
+        more = reached.join(jump, KEY).select("session_id", F.col("far").alias("entry_id"), (F.col("steps") + 2**k).alias("steps"))
+        reached = written(reached.unionByName(more).groupBy(*KEY).agg(F.min("steps").alias("steps")), "reached")
+        jump = written(jump.join(jump.select("session_id", F.col("entry_id").alias("far"), F.col("far").alias("f2")), ["session_id", "far"]).select(*KEY, F.col("f2").alias("far")), "jump")
+        if jump.isEmpty():
+            break
+    path = n.join(reached, KEY)
+    return path.withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("steps"))) - 1).select(*KEY, "seq", "pos")
 
 
 def active_branch(blocks: DataFrame) -> DataFrame:
