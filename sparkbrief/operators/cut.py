@@ -43,11 +43,11 @@ def _at(condition: Column, value: str = "idx") -> Column:
     return F.min(F.when(condition, F.col(value)))
 
 
-def cuts(blocks: DataFrame, c: Compact = Compact()) -> DataFrame:
+def cuts(blocks: DataFrame, c: Compact = Compact(), live: DataFrame | None = None) -> DataFrame:
     """One row a session with live messages: keep (turns kept), grown, cut (index of the first message kept; null if all are
-    compacted, or if there is no safe cut), compact_all, reason (of a cut by budget) and possible.
+    compacted, or if there is no safe cut), compact_all, reason (of a cut by budget) and possible. ``live``: ``numbered``, if at hand.
     """
-    d = numbered(blocks, c)
+    d = numbered(blocks, c) if live is None else live
     explicit = c.keep is not None
     # the budget's place is found first, then the next message that is no tool result
     budget = d.groupBy("session_id").agg(
@@ -80,12 +80,13 @@ def cuts(blocks: DataFrame, c: Compact = Compact()) -> DataFrame:
     return s.select("session_id", "n", "users", "keep", (F.col("keep") != 1).alias("grown"), F.when(reason.isNotNull(), F.col("budget")).otherwise(F.col("cut0")).alias("cut"), (F.col("all_") & ~no_anchor).alias("compact_all"), reason.alias("reason"), "possible")
 
 
-def split_at(blocks: DataFrame, c: Compact = Compact()) -> DataFrame:
+def split_at(blocks: DataFrame, c: Compact = Compact(), live: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
     """Live blocks with ``idx`` and ``kept``: false for those that the brief replaces. Sessions without a safe cut keep all."""
-    d = numbered(blocks, c).select("session_id", "seq", "idx")
-    where = cuts(blocks, c).select("session_id", "cut", "compact_all")
-    d = d.join(where, "session_id").withColumn("kept", ~F.col("compact_all") & F.coalesce(F.col("idx") >= F.col("cut"), F.lit(True)))
-    return live_blocks(blocks).join(d.drop("cut", "compact_all"), ["session_id", "seq"])
+    live = numbered(blocks, c) if live is None else live
+    at = cuts(blocks, c, live) if at is None else at
+    d = live.select("session_id", "seq", "idx").join(at.select("session_id", "cut", "compact_all"), "session_id")
+    d = d.withColumn("kept", ~F.col("compact_all") & F.coalesce(F.col("idx") >= F.col("cut"), F.lit(True))).drop("cut", "compact_all")
+    return blocks.where("kind = 'message'").join(d, ["session_id", "seq"])
 
 
 def clean_cut(blocks: DataFrame, at: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ Width, frame counts and token costs are expressions. Only blocks routed to frame
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,30 +100,27 @@ def layout(text: str, cols: int, rows: int) -> list[list[str]]:
     return pages if pages[0] else [[""]]
 
 
-def _glyph(c: str) -> int:
-    """A pattern of 5 by 7 cells for a character, made from its code: frames have fixed geometry, not a font."""
+@lru_cache(maxsize=4096)
+def _glyph(c: str) -> np.ndarray:
+    """A pattern of 7 by 5 cells for a character, made from its code: frames have a fixed geometry, not a font."""
     if c.isspace():
-        return 0
+        return np.zeros((7, 5), np.uint8)
     x = (ord(c) * 0x9E3779B1) & 0xFFFFFFFF
     x ^= x >> 15
-    return ((x * 0x85EBCA77) ^ (x << 7)) & ((1 << 35) - 1) | 1
+    bits = ((x * 0x85EBCA77) ^ (x << 7)) & ((1 << 35) - 1) | 1
+    return np.array([bits >> i & 1 for i in range(35)], np.uint8).reshape(7, 5)
 
 
 def draw(text: str, cols: int, rows: int, scale: int = 1) -> tuple[int, int, bytes]:
     """(width, height, PNG) of a grid of cells of 8 by 8 dots with a margin of 4."""
     scale = max(1, scale)
-    width, height = cols * 8 * scale + 8 * scale, rows * 8 * scale + 8 * scale
-    dots = bytearray([PAPER]) * (width * height)
+    dots = np.zeros((rows * 8 + 8, cols * 8 + 8), np.uint8)
     for y, line in enumerate(text.split("\n")[:rows]):
         for x, c in enumerate(line[:cols]):
-            g = _glyph(c)
-            for bit in range(35):
-                if g >> bit & 1:
-                    top, left = (4 + y * 8 + bit // 5) * scale, (4 + x * 8 + bit % 5) * scale
-                    for k in range(scale):
-                        at = (top + k) * width + left
-                        dots[at : at + scale] = bytes([INK]) * scale
-    return width, height, png(width, height, bytes(dots))
+            dots[4 + y * 8 : 11 + y * 8, 4 + x * 8 : 9 + x * 8] = _glyph(c)
+    gray = np.where(dots, np.uint8(INK), np.uint8(PAPER)).repeat(scale, 0).repeat(scale, 1)
+    height, width = gray.shape
+    return width, height, png(width, height, gray.tobytes())
 
 
 def frame_pages(text: str, label: str, cols: int, f: Frames) -> list[tuple[str, str]]:
