@@ -57,7 +57,7 @@ def tokens(size: Column, chars_per_token: float = 3.8) -> Column:
 
 def calibrate(size: Column, measured: Column) -> Column:
     """Bytes a token: as measured where that is plausible, else 3.8."""
-    ratio = size / measured
+    ratio = F.try_divide(size, measured)
     return F.when((measured > 200) & (size > 1000) & (ratio >= 2.0) & (ratio <= 8.0), ratio).otherwise(F.lit(3.8))
 
 
