@@ -38,7 +38,7 @@ class Join:
     threshold: float = 0.8
     recall: float = 0.99999
     paths: float = 4.0
-    bucket: int = 64
+    bucket: int = 512
     block: int = 256
     sketch: int = 48
     depth: int = 3
@@ -315,14 +315,17 @@ def _in_cells(rows: DataFrame) -> DataFrame:
 
 def _leaves(docs: DataFrame, reps: DataFrame, j: Join, store: Store) -> DataFrame:
     """(group, doc_id, n) of the buckets to compare, of all runs and levels."""
-    rows = reps.select("doc_id", F.explode("paths").alias("path"), F.lit(1 << 62).alias("parent_n"))
+    # a bucket whose sets mostly share their least token holds sets that resemble each other, which no split would part
+    rows = reps.select("doc_id", F.explode("paths").alias("path"), F.lit(1 << 62).alias("parent_n"), F.col("sketch")[0].alias("least"))
     out = None
     for level in range(1, j.depth + 1):
         # sizes are written before they are joined: a join of plain scans can be split where a bucket is very large
-        sizes = store.put(rows.groupBy("path").agg(F.count("*").alias("n"), F.max("parent_n").alias("pn")).where("n > 1"), "sizes")
+        alike = rows.groupBy("path", "least").agg(F.count("*").alias("n"), F.max("parent_n").alias("pn"))
+        sizes = alike.groupBy("path").agg(F.sum("n").alias("n"), F.max("pn").alias("pn"), F.max(F.when(F.col("least").isNotNull(), F.col("n"))).alias("same")).where("n > 1")
+        sizes = store.put(sizes, "sizes")
         rows = store.put(rows.select("doc_id", "path").join(sizes, "path"), "sized")
         last = F.lit(level == j.depth)
-        leaf = (F.col("n") <= j.bucket) | (2 * F.col("n") > F.col("pn")) | last
+        leaf = (F.col("n") <= j.bucket) | (2 * F.col("n") > F.col("pn")) | F.coalesce(2 * F.col("same") > F.col("n"), F.lit(False)) | last
         found = rows.where(leaf).select(F.col("path").alias("group"), "doc_id", "n")
         out = found if out is None else out.unionByName(found)
         large = rows.where(~leaf)
@@ -334,7 +337,7 @@ def _leaves(docs: DataFrame, reps: DataFrame, j: Join, store: Store) -> DataFram
         sets = _tokens_of(docs, large, j).join(reps.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
         children = sets.select("doc_id", "tokens").join(paths, "doc_id").mapInArrow(run, schema)
         parents = store.put(large.select(F.col("path").alias("parent"), F.col("n").alias("parent_n")).distinct(), "parents")
-        rows = store.put(children.distinct().join(parents, "parent").select("doc_id", "path", "parent_n"), "buckets")
+        rows = store.put(children.distinct().join(parents, "parent").select("doc_id", "path", "parent_n", F.lit(None).cast("int").alias("least")), "buckets")
     return out
 
 
@@ -357,7 +360,7 @@ def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: s
     reps = store.put(reps.dropDuplicates(["doc_id", *same]), "representatives")
 
     leaves = _leaves(rows, reps, j, store)
-    cells = _in_cells(_blocked(leaves.join(reps.select("doc_id", "sketch"), "doc_id"), j.block).select("group", "x", "y", "side", "doc_id", "sketch"))
+    cells = _in_cells(_blocked(leaves.join(reps.select("doc_id", "sketch"), "doc_id"), max(j.block, j.bucket)).select("group", "x", "y", "side", "doc_id", "sketch"))
     run, schema = _candidates(j)
     families = store.put(connected_components(cells.mapInArrow(run, schema), store), "families")
 
