@@ -220,24 +220,49 @@ def _overlap(off: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.nd
     return out
 
 
-def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the graph whose edges are the true entries: at most one edge a set."""
-    n = int(max(left.max(initial=-1), right.max(initial=-1))) + 1
-    root = list(range(n))
+def _tree(links: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of a symmetric graph: the component of each node, and the edges of a spanning forest. Each node is visited once."""
+    n = len(links)
+    label = np.full(n, -1)
+    edges: list[tuple[int, int]] = []
+    for start in range(n):
+        if label[start] >= 0:
+            continue
+        label[start] = start
+        stack = [start]
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero(links[i] & (label < 0))
+            label[new] = start
+            stack.extend(new.tolist())
+            edges.extend((i, int(k)) for k in new)
+    return label, edges
 
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
+
+def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the links of a cell connect. Links within a block are those of the block's own cell; between
+    two blocks only edges that join components of theirs are given, so dense groups cost about one edge a set."""
+    if left is right:
+        return _tree(links)[1]
+    label = np.empty(len(links), np.int64)
+    for part in (left, right):
+        label[part] = part[_tree(links[np.ix_(part, part)])[0]]
+    x, y = np.nonzero(links[np.ix_(left, right)])
+    x, y = left[x], right[y]
+    _, first = np.unique(label[x] * len(links) + label[y], return_index=True)
+    root = {}
+
+    def find(i: int) -> int:
+        while root.get(i, i) != i:
             i = root[i]
         return i
 
     out = []
-    for i, row in zip(left, links, strict=True):
-        for k in right[np.flatnonzero(row)]:
-            a, b = find(int(i)), find(int(k))
-            if a != b:
-                root[b] = a
-                out.append((int(i), int(k)))
+    for i in first:
+        a, b = find(int(label[x[i]])), find(int(label[y[i]]))
+        if a != b:
+            root[b] = a
+            out.append((int(x[i]), int(y[i])))
     return out
 
 
@@ -263,11 +288,10 @@ def _candidates(j: Join):
             ids = cell.column("doc_id").to_numpy()
             off, values = _arrays(cell.column("sketch").combine_chunks())
             size = np.diff(off)
-            common = _overlap(off, values, left, right)
+            every = np.arange(len(size))
             # the least hashes of sets at the threshold agree in that share, give or take; a set below 5/8 of it is no candidate
-            links = common >= 0.625 * j.threshold * np.minimum(size[left][:, None], size[right][None, :])
-            if left is right:
-                np.fill_diagonal(links, False)
+            links = _overlap(off, values, every, every) >= 0.625 * j.threshold * np.minimum(size[:, None], size[None, :])
+            np.fill_diagonal(links, False)
             for x, y in _forest(links, left, right):
                 a_out.append(ids[x])
                 b_out.append(ids[y])
@@ -293,13 +317,13 @@ def _verify(j: Join):
             ids, weight = cell.column("doc_id").to_numpy(), cell.column("weight").to_numpy()
             off, values = _arrays(cell.column("tokens").combine_chunks())
             size = np.diff(off)
-            common = _overlap(off, values, left, right).astype(np.int64)
-            union = size[left][:, None] + size[right][None, :] - common
-            links = 1000 * common >= part * union
-            if left is right:
-                np.fill_diagonal(links, False)
-            n = links @ weight[right]
-            back = [] if left is right else links.T @ weight[left]
+            every = np.arange(len(size))
+            common = _overlap(off, values, every, every).astype(np.int64)
+            links = 1000 * common >= part * (size[:, None] + size[None, :] - common)
+            np.fill_diagonal(links, False)
+            across = links[np.ix_(left, right)]
+            n = across @ weight[right]
+            back = [] if left is right else across.T @ weight[left]
             forest = _forest(links, left, right)
             a = [*ids[left], *([] if left is right else ids[right]), *(ids[x] for x, _ in forest)]
             b = [None] * (len(a) - len(forest)) + [ids[y] for _, y in forest]
