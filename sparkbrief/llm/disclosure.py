@@ -4,7 +4,8 @@ Protected entities are e-mail and IP addresses, card and telephone numbers found
 help if the words beside it name it all the same, so corpus co-occurrence decides about those. Over all documents the
 operator counts the documents with entity e, those with term t, and those with t in the context of e (``context``
 words to either side). The disclosure of e by t is the share of t's documents in which it stands by e, together with
-the pointwise mutual information log2 P(e, t) / (P(e) P(t)). Terms over both thresholds are removed in the contexts of that
+the pointwise mutual information log2 P(e | t) / P(e), its P(e | t) smoothed. No number of documents is asked for: an entity
+of a single document is protected by the same thresholds. Terms over both thresholds are removed in the contexts of that
 entity, or generalised where the share is below ``remove``; the same word elsewhere is left alone.
 
 Counts are sums by key with partial sums on the map side. To count the documents of terms, only words that are terms of
@@ -43,11 +44,12 @@ _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """A term counts if it stands by the entity in ``min_docs`` documents, in ``share`` of its own documents, with ``bits`` of
-    mutual information; from ``remove`` on it is removed, below generalised."""
+    """A term counts if it stands by the entity in ``share`` of its own documents, with ``bits`` of mutual information; from
+    ``remove`` on it is removed, below generalised. For the mutual information each term has ``prior`` documents more, in which the
+    entity stands at its rate in the corpus: a word seen once beside an entity of many documents says little of it."""
 
     context: int = 6
-    min_docs: int = 3
+    prior: float = 1.0
     share: float = 0.5
     remove: float = 0.9
     bits: float = 3.0
@@ -216,8 +218,11 @@ def find(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", key:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = store.put(rows.mapInArrow(run, schema), "found")
     pairs = found.select("row", F.explode("pairs").alias("p")).select("row", "p.*")
-    together = pairs.select("e", "t", "row").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= d.min_docs)
-    together = store.put(together, "together")
+    together = pairs.select("e", "t", "row").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et"))
+    # a term stands by entities in no more documents than hold it, so a share too small by this count is too small by all
+    beside = pairs.select("t", "row").distinct().groupBy("t").agg(F.count("*").alias("n_beside"))
+    together = store.put(together, "together").join(store.put(beside, "beside"), "t").where(F.col("n_et") / F.col("n_beside") >= d.share)
+    together = store.put(together.drop("n_beside"), "together")
     terms = store.put(together.select("t").distinct().mapInArrow(*_hashed()), "terms")
     n_terms = terms.count()
     added = None
@@ -230,7 +235,8 @@ def find(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", key:
         of_entity = pairs.select("e", "row").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
         total = found.count()
         share = F.col("n_et") / F.col("n_t")
-        bits = F.log2(share * F.lit(float(total)) / F.col("n_e"))
+        rate = F.col("n_e") / F.lit(float(total))
+        bits = F.log2((F.col("n_et") + d.prior * rate) / (F.col("n_t") + d.prior) / rate)
         # written first: joined tables whose sides are plain scans can be split where a term or an entity is very common
         of_term, of_entity = store.put(terms.join(of_term, "h").select("t", "n_t"), "terms"), store.put(of_entity, "entities")
         telling = together.join(of_term, "t").join(of_entity, "e").where((share >= d.share) & (bits >= d.bits))

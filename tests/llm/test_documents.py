@@ -286,3 +286,16 @@ def test_disclosing_terms(spark):
     assert other == {d: r.spans for d, r in got.items()}
     assert disclosure.sanitise(rows[0][1], [(s.kind, s.a, s.b) for s in got[0].all_spans]) == " filler0 word [WORD] [EMAIL] other0 thing"
     assert disclosure.find(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_terms_of_rare_entities(spark):
+    """Entities of one and of two documents are protected, by counts over all documents."""
+    rows = [(0, "plain text Marlowe ann@y.org thing"), (1, "plain Quist bo@y.org text"), (2, "thing Quist bo@y.org plain"), (3, "word Ebbers cy@y.org thing"), (4, "plain Ebbers thing"), (5, "word Dunn dee@y.org"), (6, "Dunn plain"), (7, "Dunn thing")]
+    rows += [(10 + i, f"plain text thing word {i}") for i in range(60)]
+    for d in (disclosure.Disclosure(), disclosure.Disclosure(max_terms=0)):
+        got = {r.doc_id: r.spans for r in disclosure.find(frame(spark, rows), d).collect()}
+        assert got[0] == "term:11:18,email:19:28"
+        assert got[1] == "term:6:11,email:12:20" and got[2] == "term:6:11,email:12:20"
+        # in half of its documents the word stands by the entity, in a third it is left alone
+        assert got[3] == "hint:5:11,email:12:20" and got[5] == "email:10:19"
+        assert got[4] == got[6] == got[10] == ""
