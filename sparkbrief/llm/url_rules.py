@@ -86,13 +86,38 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), *(F.nullif(o, F.lit("")) for o in other))
 
 
-def declared_targets(html: Column) -> Column:
-    """The absolute urls that a page names as its canonical address or sends its reader to."""
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["'\s>][^>]*>?""", 0)
-    link = F.when(link != "", _attribute(link, "href"))
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["'\s>][^>]*>?""", 0)
-    meta = F.when(meta != "", F.regexp_extract(meta, r"""(?is)url\s*=\s*['"]?([^'"\s>;]+)""", 1))
-    return F.filter(F.array(link, meta), lambda u: u.contains("://"))
+def resolve(target: Column, base: Column) -> Column:
+    """``target`` as an absolute url, read as a link on a page at ``base``; null for other schemes than those with ``://`` and where a
+    base without ``://`` leaves it relative. Dot segments of relative targets go."""
+    root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    place = path_of(base)
+    t = F.when(target.startswith("?") | target.startswith("#"), F.concat(place, F.when(target.startswith("#"), F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)).otherwise(""), target))
+    t = t.when(target.startswith("/"), target).otherwise(F.concat(F.when(place == "", "/").otherwise(F.regexp_replace(place, "[^/]*$", "")), target))
+    path, rest = F.regexp_extract(t, r"(?s)^[^?#]*", 0), F.regexp_extract(t, r"(?s)^[^?#]*(.*)", 1)
+    steps = F.aggregate(
+        F.split(F.substr(path, F.lit(2)), "/"),
+        F.array().cast("array<string>"),
+        lambda to, s: F.when(s == "..", F.slice(to, F.lit(1), F.greatest(F.size(to) - 1, F.lit(0)))).when(s == ".", to).otherwise(F.concat(to, F.array(s))),
+    )
+    last = F.when(path.rlike(r"/\.\.?$") & (F.size(steps) > 0), "/").otherwise("")
+    plain = F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(steps, "/"), last)).otherwise(path)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.rlike(r"^[^:]*://"), target))
+        .when(root == "", F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(root, r"(?s)^(.*?:)//", 1), target))
+        .otherwise(F.concat(root, plain, rest))
+    )
+
+
+def declared_targets(html: Column, url: Column) -> Column:
+    """The urls, made absolute, that a page names as its canonical address or sends its reader to: of all its tags, seen from its
+    ``<base>`` if it has one, else from its own url."""
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>?"), F.lit(0)), lambda tag: F.array_contains(F.split(fold(_attribute(tag, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>?"), F.lit(0)), lambda tag: F.trim(fold(_attribute(tag, "http-equiv"))) == "refresh")
+    named = F.concat(F.transform(links, lambda tag: F.trim(_attribute(tag, "href"))), F.transform(metas, lambda tag: F.regexp_extract(tag, r"""(?is)url\s*=\s*['"]?([^'"\s>;]+)""", 1)))
+    base = _attribute(F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\b[^>]*>?", 0), "href")
+    base = F.coalesce(resolve(F.trim(base), url), url)
+    return F.filter(F.transform(F.filter(named, lambda u: u != ""), lambda u: resolve(u, base)), lambda u: u.isNotNull())
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
@@ -101,7 +126,7 @@ def page_edges(pages: DataFrame, url: str = "url", html: str | None = "html") ->
     spelling = rows.select("url").distinct().select(F.col("url").alias("a"), normal_form(F.col("url")).alias("b"))
     if not html:
         return spelling
-    named = rows.select("url", F.explode(declared_targets(F.col("html"))).alias("to"))
+    named = rows.select("url", F.explode(declared_targets(F.col("html"), F.col("url"))).alias("to"))
     return spelling.unionByName(named.select(normal_form(F.col("url")).alias("a"), normal_form(F.col("to")).alias("b"))).unionByName(named.select(F.col("to").alias("a"), normal_form(F.col("to")).alias("b")))
 
 

@@ -19,7 +19,7 @@ from sparkbrief.llm.contamination import scan
 from sparkbrief.llm.line_runs import dedup_lines
 from sparkbrief.llm.mixing import Mix, Mixture, split_tree, targets
 from sparkbrief.llm.passages import remove_repeats
-from sparkbrief.llm.url_rules import Rule, judge_urls
+from sparkbrief.llm.url_rules import Rule, declared_targets, judge_urls
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(900, None), (901, ""), (902, " \n\t"), (903, "a"), (904, "a b\nc"), (905, "é ü 漢字 é ü 漢字")]
@@ -299,3 +299,23 @@ def test_terms_of_rare_entities(spark):
         # in half of its documents the word stands by the entity, in a third it is left alone
         assert got[3] == "hint:5:11,email:12:20" and got[5] == "email:10:19"
         assert got[4] == got[6] == got[10] == ""
+
+
+def test_relative_targets(spark):
+    """Targets of all tags count, seen from the page or its base."""
+    refresh, canonical = '<meta http-equiv="refresh" content="0; url={}">', '<link rel="nofollow Canonical" href="{}">'
+    cases = [
+        ("http://example.com/old", refresh.format("/de/new"), ["http://example.com/de/new"]),
+        ("http://e.com/a", '<link rel="canonical" href="//a.net/x">', ["http://a.net/x"]),
+        ("http://e.com/b", '<link rel=canonical href="http://e.com/b">' + canonical.format("http://f.net/") + refresh.format("c") + refresh.format("http://g.com/"), ["http://e.com/b", "http://f.net/", "http://e.com/c", "http://g.com/"]),
+        ("http://e.com/x/y/z?q=1#f", canonical.format("../w/./v/..") + canonical.format("?p=2") + canonical.format("../../../../u"), ["http://e.com/x/w/", "http://e.com/x/y/z?p=2", "http://e.com/u"]),
+        ("http://e.com", canonical.format("n") + canonical.format("/go?to=http://a.net/"), ["http://e.com/n", "http://e.com/go?to=http://a.net/"]),
+        ("http://e.com/d", '<base href="/de/">' + canonical.format("m") + canonical.format("mailto:x@y.z"), ["http://e.com/de/m"]),
+        ("x.org/fr/", canonical.format("/a"), []),
+        ("http://e.com/n", None, None),
+    ]
+    d = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.page_id: r.t for r in d.select("page_id", declared_targets(F.col("html"), F.col("url")).alias("t")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+    verdicts = {r.page_id: r.verdict for r in judge_urls(d).collect()}
+    assert [verdicts[i] for i in range(3)] == ["block"] * 3 and verdicts[7] == "allow"
