@@ -1,18 +1,22 @@
 """Whole-batch text handling over Arrow's UTF-8 buffers with numpy; no per-word Python objects.
 
 A ``Chunk`` is a run of documents whose bytes lie in one array. Words, lines and rolling hashes are found for the
-whole chunk at once, in memory bounded by ``CHUNK_BYTES`` (a single longer text makes a chunk of its own).
+whole chunk at once, in memory bounded by ``CHUNK_BYTES`` (a single longer text makes a chunk of its own, of which
+a few flags a byte and a few longs a word are held). Hashes are taken ``SEGMENT`` values at a time, so the tables of
+powers, the only thing kept between calls, are of one size whatever the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 512 << 10
+#: Values that a step of a polynomial hash takes.
+SEGMENT = 1 << 16
 U64 = np.uint64
 
 #: The bytes that part words: space, and tab to carriage return.
@@ -48,18 +52,45 @@ _POW: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse modulo 2**64) for i < n, kept between calls."""
+    """base**i (or its inverse modulo 2**64) for i < n. Tables of SEGMENT entries are kept, longer ones are not."""
     have = _POW.get((which, inverse))
     if have is None or len(have) < n:
         base = BASES[which]
         if inverse:
             base = pow(base, -1, 1 << 64)
-        a = np.full(max(n, 1 << 16), base, U64)
+        a = np.full(max(n, SEGMENT + 1), base, U64)
         a[0] = 1
-        have = _POW[which, inverse] = np.multiply.accumulate(a)
+        have = np.multiply.accumulate(a)
+        if n <= SEGMENT + 1:
+            _POW[which, inverse] = have
     return have[:n]
 
 
+def spans(values: Callable[[int, int], np.ndarray], a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """Polynomial hashes of the values from a to b, for many intervals in order that do not overlap, each from its own start.
+
+    ``values(lo, hi)`` gives the longs of a segment.
+    """
+    out = np.zeros(len(a), U64)
+    up, down = powers(which, SEGMENT), powers(which, SEGMENT, inverse=True)
+    lo = int(a[0]) if len(a) else 0
+    end = int(b[-1]) if len(b) else 0
+    while lo < end:
+        i, j = np.searchsorted(b, lo, side="right"), np.searchsorted(a, lo + SEGMENT)
+        if i < j:
+            hi = min(lo + SEGMENT, int(b[j - 1]))
+            p = np.zeros(hi - lo + 1, U64)
+            np.cumsum(values(lo, hi) * up[: hi - lo], out=p[1:])
+            x, y = np.maximum(a[i:j], lo) - lo, np.minimum(b[i:j], hi) - lo
+            h = (p[y] - p[x]) * down[np.minimum(x, SEGMENT - 1)]
+            if a[i] < lo:
+                # the interval goes on from the segment before
+                h[:1] *= U64(pow(BASES[which], lo - int(a[i]), 1 << 64))
+            out[i:j] += h
+        lo += SEGMENT
+    return out
+
+
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -127,14 +158,7 @@ class Chunk:
 
     def word_hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit polynomial hash of each word's bytes, mixed."""
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        v = _BYTE[which][self.data]
-        v[self.gap] = 0
-        v *= powers(which, len(v))
-        h = np.add.reduceat(v, self.starts)
-        h *= powers(which, len(v), inverse=True)[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64), which)
+        return span_hashes(self.data, self.starts, self.ends, which)
 
     def windows(self, hashes: np.ndarray, length: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of all windows of ``length`` words, and whether each lies within one text. Entry i starts at word i."""
@@ -149,22 +173,61 @@ class Chunk:
         return h, ok
 
 
+def span_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """The hashes that words of these bytes have."""
+    h = spans(lambda lo, hi: _BYTE[which][data[lo:hi]], a, b, which)
+    return mix(h + (b - a).astype(U64), which)
+
+
 def roll(values: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """Rolling polynomial hash of every run of ``length`` values."""
-    p = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(which, len(values)), out=p[1:])
     n = len(values) - length + 1
-    return mix((p[length:] - p[:n]) * powers(which, n, inverse=True), 31 * length + which)
+    if n <= 0:
+        return np.zeros(0, U64)
+    step = max(SEGMENT - length, length)
+    up, down = powers(which, step + length), powers(which, step, inverse=True)
+    out = np.empty(n, U64)
+    for lo in range(0, n, step):
+        m = min(step, n - lo)
+        p = np.zeros(m + length, U64)
+        np.cumsum(values[lo : lo + m + length - 1] * up[: m + length - 1], out=p[1:])
+        out[lo : lo + m] = mix((p[length:] - p[:m]) * down[:m], 31 * length + which)
+    return out
 
 
 def whole(chunk: Chunk, hashes: np.ndarray, which: int = 0) -> np.ndarray:
     """One hash of each text's whole word sequence; 0 where there is no word."""
-    p = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * powers(which, len(hashes)), out=p[1:])
     a, b = chunk.first[:-1], chunk.first[1:]
-    out = (p[b] - p[a]) * powers(which, len(hashes) + 1, inverse=True)[a]
+    out = spans(lambda lo, hi: hashes[lo:hi], a, b, which)
     return np.where(b > a, mix(out + (b - a).astype(U64), 5), U64(0))
 
 
+def cut(arr: pa.Array, most: int = SEGMENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, text numbers) of runs of about ``most`` bytes. A longer text is cut before a space byte into parts that have
+    its number; where it has no space, a part is as long as it must be."""
+    data, off = utf8(arr)
+    extra: list[int] = []
+    for i in np.flatnonzero(np.diff(off) > most):
+        at, end = int(off[i]), int(off[i + 1])
+        while end - at > most:
+            near = np.flatnonzero(SPACE[data[at + 1 : at + most]])
+            to = at + 1 + int(near[-1]) if len(near) else end
+            for lo in range(at + most, end, most) if not len(near) else ():
+                far = np.flatnonzero(SPACE[data[lo : lo + most]])
+                if len(far):
+                    to = min(end, lo + int(far[0]))
+                    break
+            if to < end:
+                extra.append(to)
+            at = to
+    edges = np.sort(np.concatenate([off, np.array(extra, np.int64)])) if extra else off
+    text = np.minimum(np.searchsorted(off, edges[:-1], side="right") - 1, len(off) - 2)
+    at = 0
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + most, side="right")) - 1)
+        yield data[edges[at] : edges[to]], edges[at : to + 1] - edges[at], text[at:to]
+        at = to
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

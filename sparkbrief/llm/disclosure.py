@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Store
-from ._words import _BYTE, U64, Chunk, mix, pieces, powers, signed, utf8
+from ._words import Chunk, pieces, signed, span_hashes, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 #: Added by the method, after the pattern kinds: a term removed, a term generalised.
@@ -101,7 +102,8 @@ def entity(kind: str, value: str) -> str:
 
 
 def term(word: str) -> str:
-    return word.strip(_EDGE).lower()
+    """A word without marks at its ends. Terms are lower-cased all at once, by the same mapping wherever they are counted."""
+    return word.strip(_EDGE)
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]], d: Disclosure) -> list[tuple[str, str, int, int]]:
@@ -144,6 +146,8 @@ def _found(d: Disclosure):
                 spans[i] = base_spans(text)
                 if spans[i]:
                     pairs[i] = contexts(text, spans[i], d)
+            low = iter(pc.utf8_lower(pa.array([p[1] for x in pairs for p in x], pa.string())).to_pylist())
+            pairs = [[(e, next(low), a, b) for e, _, a, b in x] for x in pairs]
             count = [[sum(s[0] == k for s in x) for x in spans] for k in KINDS]
             sums = [hashlib.sha256(listed(x).encode()).hexdigest() for x in spans]
             yield pa.RecordBatch.from_arrays(
@@ -166,15 +170,14 @@ def _frequencies(wanted: np.ndarray | None):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            # most lower-casing is that of ASCII; texts with other capitals are folded as strings
-            c = Chunk(pa.compute.utf8_lower(pa.compute.fill_null(piece.column(0), "")))
+            c = Chunk(pc.utf8_lower(pc.fill_null(piece.column(0), "")))
             if not len(c.starts):
                 continue
             inner = np.flatnonzero(~c.gap & ~edge[c.data])
             lo, hi = np.searchsorted(inner, c.starts), np.searchsorted(inner, c.ends)
             keep = hi > lo
             a, b = inner[lo[keep]], inner[hi[keep] - 1] + 1
-            h, doc = _span_hashes(c.data, a, b), c.doc_of_word()[keep]
+            h, doc = span_hashes(c.data, a, b), c.doc_of_word()[keep]
             if wanted is not None:
                 at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
                 hit = wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
@@ -189,14 +192,6 @@ def _frequencies(wanted: np.ndarray | None):
     return run, "h long, n long"
 
 
-def _span_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The hash that ``Chunk.word_hashes`` gives to data[a:b]."""
-    v = _BYTE[0][data] * powers(0, len(data))
-    p = np.zeros(len(data) + 1, U64)
-    np.cumsum(v, out=p[1:])
-    return mix((p[b] - p[a]) * powers(0, len(data), inverse=True)[a] + (b - a).astype(U64), 0)
-
-
 def _hashed():
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,14 +250,22 @@ def find(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", key:
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "all_spans", text_of.alias("spans"))
 
 
+def general(word: str) -> str:
+    """What stands for a generalised word: its kind by its letters and digits. The more special kind comes first."""
+    letters, digits = any(c.isalpha() for c in word), any(c.isdigit() for c in word)
+    if digits:
+        return "[CODE]" if letters else f"[NUMBER OF {sum(c.isdigit() for c in word)} DIGITS]"
+    return "[NAME]" if word.strip(_EDGE)[:1].isupper() else "[WORD]"
+
+
 def sanitise(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
-    """The text with pattern matches as [KIND], generalised terms as [WORD] and removed terms gone. Overlapping spans go as one,
-    by the first of them."""
+    """The text with pattern matches as [KIND], generalised terms as their ``general`` form and removed terms gone. Overlapping
+    spans go as one, by the first of them."""
     if text is None:
         return None
     out, at = [], 0
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         if a >= at:
-            out += [text[at:a], "" if kind == "term" else "[WORD]" if kind == "hint" else f"[{kind.upper()}]"]
+            out += [text[at:a], "" if kind == "term" else general(text[a:b]) if kind == "hint" else f"[{kind.upper()}]"]
         at = max(at, b)
     return "".join([*out, text[at:]])

@@ -4,8 +4,8 @@ A text is measured by about thirty shares and counts. Measures are cut into at m
 training sample; each tree is grown level by level from histograms of gradients by bin. Trained trees are flattened
 into arrays of the same shape, heap-ordered, and a batch of documents walks all trees at once by numpy indexing.
 
-Training takes a bounded sample of labelled rows: at most ``Training.max_rows`` rows of measures, no texts, come to
-the driver.
+Training takes a bounded sample of labelled rows: at most ``Training.max_rows`` labels are drawn, and at most as many rows of measures, no
+texts, come to the driver.
 """
 
 from __future__ import annotations
@@ -51,10 +51,13 @@ NAMES = (
 )
 
 
-def _per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(flags) + 1)
-    np.cumsum(flags, out=total[1:])
-    return total[off[1:]] - total[off[:-1]]
+def _histograms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(texts, 256): how often each byte stands in each text."""
+    out = np.zeros((len(off) - 1, 256), np.int64)
+    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        for lo in range(a, b, 1 << 18):
+            out[i] += np.bincount(data[lo : min(b, lo + (1 << 18))], minlength=256)
+    return out
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -87,7 +90,8 @@ def features(arr: pa.Array) -> np.ndarray:
     marks[list(b"#*$%&|<>")] = True
     symbols = np.zeros(len(data) + 1, np.int32)
     np.cumsum(marks[data], out=symbols[1:])
-    lines = _per_doc(data == 0x0A, off) + 1
+    bytes_of = _histograms(data, off)
+    lines = bytes_of[:, 0x0A] + 1
     cols = [np.log1p(np.diff(off)), np.log1p(words), by_word(length) / w, by_word(length > 12) / w, by_word(length < 4) / w, np.log1p(lines), words / lines]
     # repeated lines: a line's hash is that of its words, taken from the prefix of word hashes
     line_of = np.searchsorted(np.flatnonzero(data == 0x0A), c.starts)
@@ -110,11 +114,9 @@ def features(arr: pa.Array) -> np.ndarray:
     last = c.ends - 1
     closing = np.isin(data[last], np.frombuffer(b".!?", np.uint8)) if len(last) else np.zeros(0, bool)
     final = np.append(begin[1:], len(key))[: len(begin)] - 1 if len(begin) else np.zeros(0, np.int64)
-    cols += [np.bincount(doc[begin], closing[final], minlength=n) / np.maximum(full, 1), _per_doc(c.gap, off) / size]
+    cols += [np.bincount(doc[begin], closing[final], minlength=n) / np.maximum(full, 1), bytes_of[:, SPACE].sum(axis=1) / size]
     for kind in _KINDS.values():
-        is_kind = np.zeros(256, bool)
-        is_kind[list(kind)] = True
-        cols.append(_per_doc(is_kind[data], off) / size)
+        cols.append(bytes_of[:, list(kind)].sum(axis=1) / size)
     return np.where(words[:, None] > 0, np.stack(cols, axis=1), 0.0)
 
 
@@ -195,7 +197,7 @@ def _mapped(docs: DataFrame, of, column: str, text: str, key: str, keep: list[st
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 2 << 20):
+        for piece in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([piece.column(0), *piece.columns[2:], of(piece.column(1))], names=["doc_id", *piece.schema.names[2:], column.split()[0]])
 
     schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes if c != "text") + f", {column}"
@@ -203,11 +205,14 @@ def _mapped(docs: DataFrame, of, column: str, text: str, key: str, keep: list[st
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, t: Training = Training(), text: str = "text", key: str = "doc_id") -> Trees:
-    """Train on at most ``max_rows`` rows of ``labels`` (key, label), picked by a hash of the key."""
-    picked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+    """Train on at most ``max_rows`` keys of ``labels`` (key, label) and rows of their texts, both drawn by hash; equal rows count once,
+    and of several labels of one key the largest counts."""
+    picked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = picked.orderBy(F.xxhash64(F.lit(t.seed), "doc_id"), "doc_id").limit(t.max_rows)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
-    table = measured(rows, "text", "doc_id", ["label"]).orderBy("doc_id").limit(2 * t.max_rows).toArrow()
+    rows = measured(rows, "text", "doc_id", ["label"])
+    order = [F.xxhash64(F.lit(t.seed), "doc_id"), F.col("doc_id"), F.xxhash64("x")]
+    table = rows.dropDuplicates(["doc_id", "x"]).orderBy(*order).limit(t.max_rows).toArrow()
     x = np.asarray(table.column("x").combine_chunks().flatten()).reshape(-1, len(NAMES)) if len(table) else np.zeros((0, len(NAMES)))
     return train(x, table.column("label").to_numpy() if len(table) else np.zeros(0), t)
 

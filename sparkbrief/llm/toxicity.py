@@ -4,7 +4,8 @@ A text is the bag of its character n-grams, cut from the folded bytes of each wo
 n-gram is hashed to a row of an embedding table; rows are averaged over the text and a linear softmax over two classes
 reads the average. A misspelt word never seen shares most n-grams, and so their vectors, with words that were.
 
-Training takes a bounded sample of labelled rows (``Training.max_rows`` and ``max_bytes`` of text) to the driver.
+Training takes a bounded sample of labelled rows (``Training.max_rows`` and ``max_bytes`` of text) to the driver. Long texts
+take part in pieces of ``piece`` characters, each a row of its own with its text's label, so no text is too long to be drawn.
 Embeddings and head are trained together by Adam. With two classes only the difference of the head's rows matters,
 so a pass forward reads one number a bucket and the gradient of the table is an outer product.
 
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import _BYTE, LOWER, SPACE, U64, mix, pieces, powers, utf8
+from ._words import _BYTE, LOWER, SEGMENT, SPACE, U64, cut, mix, pieces, powers
 
 
 @dataclass(frozen=True)
 class Training:
     max_rows: int = 6000
     max_bytes: int = 10 << 20
+    piece: int = 20_000
     bits: int = 17
     dim: int = 4
     lengths: tuple[int, ...] = (3, 5, 7)
@@ -58,19 +60,19 @@ class Model:
     def score(self, arr: pa.Array) -> np.ndarray:
         total = np.zeros(len(arr))
         count = np.zeros(len(arr), np.int64)
-        for doc_ends, bucket in ngrams(arr, self.lengths, self.bits):
-            v = np.zeros(len(bucket) + 1)
-            np.cumsum(self.value[bucket], out=v[1:])
-            total += v[doc_ends[1:]] - v[doc_ends[:-1]]
-            count += np.diff(doc_ends)
+        for raw, off, text in cut(arr, SEGMENT // 2):
+            for ends, bucket in ngrams(raw, off, self.lengths, self.bits):
+                v = np.zeros(len(bucket) + 1)
+                np.cumsum(self.value[bucket], out=v[1:])
+                np.add.at(total, text, v[ends[1:]] - v[ends[:-1]])
+                np.add.at(count, text, np.diff(ends))
         logit = self.bias + self.scale * total / (count + self.smooth)
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def ngrams(arr: pa.Array, lengths: Iterable[int], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ngrams(raw: np.ndarray, off: np.ndarray, lengths: Iterable[int], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length: (offsets of the texts' n-grams, their buckets). Lengths count bytes, folded; a space stands at both
     ends of a word, and an n-gram holds spaces at its ends only and at least two bytes of a word."""
-    raw, off = utf8(arr)
     # a space before each text and after the last, so that words at the edges have theirs
     n = len(raw) + len(off)
     place = np.arange(len(raw)) + 1 + np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -97,10 +99,14 @@ def ngrams(arr: pa.Array, lengths: Iterable[int], bits: int) -> Iterator[tuple[n
 def bags(arr: pa.Array, t: Training) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text the buckets and their shares."""
     out = []
-    for piece in pieces([pa.RecordBatch.from_arrays([arr], names=["text"])], "text", 1 << 20):
-        parts = list(ngrams(piece.column(0), t.lengths, t.bits))
-        for i in range(piece.num_rows):
-            b, c = np.unique(np.concatenate([h[e[i] : e[i + 1]] for e, h in parts]), return_counts=True)
+    for piece in pieces([pa.RecordBatch.from_arrays([arr], names=["text"])], "text"):
+        found: list[list[np.ndarray]] = [[] for _ in range(piece.num_rows)]
+        for raw, off, text in cut(piece.column(0), SEGMENT // 2):
+            for ends, bucket in ngrams(raw, off, t.lengths, t.bits):
+                for i, a, b in zip(text, ends[:-1], ends[1:], strict=True):
+                    found[i].append(bucket[a:b])
+        for parts in found:
+            b, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             out.append((b.astype(np.int32), (c / (c.sum() + t.smooth)).astype(np.float32)))
     return out
 
@@ -146,18 +152,21 @@ def train(texts: pa.Array, labels: np.ndarray, t: Training = Training()) -> Mode
 
 
 def sample(labelled: DataFrame, t: Training) -> pa.Table:
-    """At most max_rows rows and max_bytes of text of (key, text, label), in an order fixed by a hash of the key."""
+    """At most max_rows pieces and max_bytes of text of (key, text, label), in an order fixed by a hash of key, piece and text."""
     rows = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).where("label is not null and text is not null")
-    # a text that alone would take a sixteenth of the bytes is left to others
-    rows = rows.where(F.octet_length("text") <= t.max_bytes // 16)
-    top = rows.select("doc_id", "label", "text", F.xxhash64(F.lit(t.seed), "doc_id").alias("h")).orderBy("h", "doc_id").limit(t.max_rows).toArrow()
+    number = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("text") - 1, F.lit(0)) / t.piece).cast("int"))
+    rows = rows.select("doc_id", "label", "text", F.explode(number).alias("no"))
+    rows = rows.select("doc_id", "label", "no", F.substring(F.col("text"), F.col("no") * t.piece + 1, F.lit(t.piece)).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(t.seed), "doc_id", "no")).withColumn("x", F.xxhash64("text"))
+    top = rows.orderBy("h", "doc_id", "no", "x").limit(t.max_rows).select("doc_id", "label", "text").toArrow()
     size = np.cumsum(np.asarray(pa.compute.binary_length(top.column("text")), np.int64)) if len(top) else np.zeros(0)
     return top.slice(0, int(np.searchsorted(size, t.max_bytes, side="right")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, t: Training = Training(), text: str = "text", key: str = "doc_id") -> Model:
-    """Train on the rows of ``labels`` (key, label). Which rows to take is decided on the label table, before any text is read."""
-    picked = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+    """Train on the rows of ``labels`` (key, label). Which keys to take is decided on the label table, before any text is read: at
+    most ``max_rows`` of them. Of several labels of one key the largest counts."""
+    picked = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = picked.orderBy(F.xxhash64(F.lit(t.seed), "doc_id"), "doc_id").limit(t.max_rows)
     # at most max_rows keys
     table = sample(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id"), t)
@@ -171,11 +180,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     """
     keep = keep or []
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)))
+    # the text goes to Python once, and back only if it is kept
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep) if k != text))
+    back = [c for c in rows.columns if c != "text" or text in keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([piece.column(0), *piece.columns[2:], pa.array(sent.value.score(piece.column(1)))], names=["doc_id", *piece.schema.names[2:], "score"])
+        for piece in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in back), pa.array(sent.value.score(piece.column(1)))], names=[*back, "score"])
 
-    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes if c != "text") + ", score double"
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"keep_{i}": k for i, k in enumerate(keep)})
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes if c in back) + ", score double"
+    return rows.mapInArrow(run, schema).withColumnsRenamed({"text": text} | {f"keep_{i}": k for i, k in enumerate(keep)}).select("doc_id", *(F.col(f"`{k}`") for k in keep), "score")
