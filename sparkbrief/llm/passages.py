@@ -8,8 +8,9 @@ that its windows occur in no other. About one position in sixteen is picked. The
 then counted by their full 128-bit hashes, and those that start in an earlier document cover the words to remove.
 No window that repeats is missed.
 
-Exact copies (equal word sequences) are settled first: only the copy with the least doc_id, whose windows stand for
-all, takes part.
+Texts of equal word sequences are one class, known by a 128-bit hash of the sequence. They are settled first: only the windows of
+a class's representative, its text of least doc_id, stand for all. Positions always belong to a word sequence, never to a doc_id, so rows
+that share a doc_id keep apart.
 """
 
 from __future__ import annotations
@@ -92,11 +93,11 @@ def _sketch(length: int):
             runs = p.grams[at] if len(at) else np.zeros(0, U64)
             ids = [signed(whole(c, c.word_hashes(w), w)) for w in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(c.n_words.astype(np.int64)), *map(pa.array, ids), _lists(signed(runs), counts), _lists((at - c.first[doc]).astype(np.int32), counts)],
-                names=["doc_id", "n_words", "s1", "s2", "runs", "at"],
+                [piece.column(0), *piece.columns[2:], pa.array(c.n_words.astype(np.int64)), *map(pa.array, ids), _lists(signed(runs), counts), _lists((at - c.first[doc]).astype(np.int32), counts)],
+                names=["doc_id", *ROW, "n_words", "s1", "s2", "runs", "at"],
             )
 
-    return run, "doc_id long, n_words long, s1 long, s2 long, runs array<long>, at array<int>"
+    return run, "doc_id long, x1 long, x2 long, n_words long, s1 long, s2 long, runs array<long>, at array<int>"
 
 
 def _candidates(length: int):
@@ -106,37 +107,60 @@ def _candidates(length: int):
             p = _Picks(c, length)
             if p.n <= 0:
                 continue
-            lists = piece.column(2)
+            lists = piece.column(3)
             doc = np.repeat(np.arange(len(c)), np.diff(np.asarray(lists.offsets)))
             at = p.choosing(np.asarray(lists.flatten()) + c.first[doc])
             doc = np.searchsorted(c.first, at, side="right") - 1
             h = [signed(roll(x, length, w)[at]) for w, x in ((0, p.hashes), (1, c.word_hashes(1)))]
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc)), pa.array((at - c.first[doc]).astype(np.int32)), *map(pa.array, h)], names=["doc_id", "start", "h1", "h2"])
+            of = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(of), piece.column(2).take(of), pa.array((at - c.first[doc]).astype(np.int32)), *map(pa.array, h)], names=["doc_id", "s1", "start", "h1", "h2"])
+
+    return run, "doc_id long, s1 long, start int, h1 long, h2 long"
+
 
-    return run, "doc_id long, start int, h1 long, h2 long"
+#: Two hashes that stand, with the doc_id, for a row's text where tables are joined.
+ROW = ["x1", "x2"]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "text", F.xxhash64(t).alias("x1"), F.xxhash64(F.lit(1), t).alias("x2"))
 
 
 def removal_starts(docs: DataFrame, store: Store, length: int = 50) -> DataFrame:
-    """(doc_id, starts): word positions of the windows of each document that also start in an earlier one.
+    """(doc_id, x1, x2, starts): word positions of the windows of each text that also start in a document of smaller doc_id.
 
-    ``starts`` is [-1] for a document whose whole word sequence is that of an earlier one.
+    ``starts`` is [-1] for a text whose whole word sequence is that of a smaller doc_id.
     """
     run, schema = _sketch(length)
-    sketches = store.put(docs.where("doc_id is not null").mapInArrow(run, schema), "sketches")
+    sketches = store.put(_rows(docs.where("doc_id is not null")).mapInArrow(run, schema), "sketches")
     long = sketches.where(F.col("n_words") >= length)
     same = ["s1", "s2", "n_words"]
-    firsts = store.put(long.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")), "copies")
-    copies = long.select("doc_id", *same).join(firsts.where("rep < top"), same).where("doc_id > rep").select("doc_id", F.lit(-1).alias("start"))
-
-    picks = long.join(firsts.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode(F.arrays_zip("runs", "at")).alias("x")).select("doc_id", F.col("x.runs").alias("run"), F.col("x.at").alias("at"))
-    shared = picks.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("run")
-    where = picks.join(shared, "run").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    # tables are written before they are joined: a join of plain scans can be split where a class, a run or a window has very many rows
+    classes = long.groupBy(*same).agg(F.min(F.struct("doc_id", *ROW)).alias("r"), F.max("doc_id").alias("top"))
+    classes = store.put(classes.select(*same, "r.*", "top"), "classes")
+    reps = classes.select("doc_id", *ROW, "s1")
+    picks = long.drop("s1").join(reps, ["doc_id", *ROW]).select("doc_id", *ROW, "s1", F.explode(F.arrays_zip("runs", "at")).alias("x")).select("doc_id", *ROW, "s1", F.col("x.runs").alias("run"), F.col("x.at").alias("at"))
+    shared = store.put(picks.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("run"), "shared")
+    where = store.put(picks.join(shared, "run").groupBy("doc_id", *ROW, "s1").agg(F.collect_set("at").alias("at")), "where")
+    store.drop(shared)
 
     run, schema = _candidates(length)
-    windows = store.put(docs.join(where, "doc_id").select("doc_id", "text", "at").mapInArrow(run, schema), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    later = windows.join(first, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "start")
-    return later.unionByName(copies).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    windows = store.put(_rows(docs).join(where, ["doc_id", *ROW]).select("doc_id", "text", "s1", "at").mapInArrow(run, schema), "windows")
+    store.drop(where)
+    first = store.put(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "first")
+    later = windows.join(first, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "s1").agg(F.collect_set("start").alias("starts"))
+
+    verdicts = classes.withColumnRenamed("doc_id", "rep").drop(*ROW).join(later.withColumnRenamed("doc_id", "rep"), ["rep", "s1"], "left")
+    verdicts = store.put(verdicts.where("rep < top or starts is not null"), "verdicts")
+    for table in (windows, first):
+        store.drop(table)
+    rows = long.select("doc_id", *ROW, *same).join(verdicts, same)
+    rows = rows.select("doc_id", *ROW, F.when(F.col("doc_id") > F.col("rep"), F.array(F.lit(-1))).otherwise(F.col("starts")).alias("starts")).where("starts is not null")
+    out = store.put(rows.dropDuplicates(["doc_id", *ROW]), "starts")
+    for table in (sketches, classes, verdicts):
+        store.drop(table)
+    return out
 
 
 def _cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -195,11 +219,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: s
     One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, ``kept`` (words joined by one
     space) and ``removed`` (maximal word intervals [from, to)). Windows are judged on the input. Texts shorter than a
     window, null and empty texts lose nothing. Rows that share a doc_id are one document: they do not remove from each
-    other, and each loses the windows found for that id, at their positions. A null doc_id takes no part and loses
+    other, and each loses the windows of its own text that start in a smaller doc_id. A null doc_id takes no part and loses
     nothing. An empty table gives an empty result. Other columns are ignored.
     """
     store = Store(docs.sparkSession, "passages")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     starts = removal_starts(docs, store, length)
     run, schema = _strip(length, with_text)
-    return docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(run, schema)
+    return _rows(docs).join(starts, ["doc_id", *ROW], "left").select("doc_id", "text", "starts").mapInArrow(run, schema)
