@@ -45,5 +45,6 @@ def connected_components(edges: DataFrame, store: Store, a: str = "a", b: str =
         step += 1
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("a").alias("root"))
-    least = labels.groupBy("label").agg(F.min("node").alias("root"))
+    # written, since a join of plain scans can be split where one component holds very many nodes
+    least = store.put(labels.groupBy("label").agg(F.min("node").alias("root")), "roots")
     return labels.join(least, "label").select("node", "root")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +86,9 @@ def _token_sets(piece: pa.RecordBatch, n: int) -> tuple[list[np.ndarray], np.nda
     return sets, sums
 
 
-def _signatures(j: Join):
-    """doc_id -> size and two hashes of its set, the paths of level 1 and the sketch; the tokens themselves are not kept."""
+def _signatures(j: Join, kept: str):
+    """doc_id -> size and two hashes of its set, the paths of level 1 and the sketch; the tokens themselves are not kept. Columns
+    after the text come back behind."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -106,11 +108,11 @@ def _signatures(j: Join):
             order = np.argsort(docs, kind="stable")
             sketch = [(t[: j.sketch] >> U64(32)).astype(np.uint32).view(np.int32) for t in sets]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(sizes.astype(np.int32)), *(pa.array(signed(x)) for x in sums), _lists(signed(paths[order]), np.bincount(docs, minlength=len(sizes))), _lists(np.concatenate(sketch), np.array([len(x) for x in sketch]))],
-                names=["doc_id", "size", "k1", "k2", "paths", "sketch"],
+                [piece.column(0), pa.array(sizes.astype(np.int32)), *(pa.array(signed(x)) for x in sums), _lists(signed(paths[order]), np.bincount(docs, minlength=len(sizes))), _lists(np.concatenate(sketch), np.array([len(x) for x in sketch])), *piece.columns[2:]],
+                names=["doc_id", "size", "k1", "k2", "paths", "sketch", *piece.schema.names[2:]],
             )
 
-    return run, "doc_id long, size int, k1 long, k2 long, paths array<long>, sketch array<int>"
+    return run, f"doc_id long, size int, k1 long, k2 long, paths array<long>, sketch array<int>, {kept}"
 
 
 def _tokens_of(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
@@ -305,7 +307,8 @@ def _candidates(j: Join):
 
 def _verify(j: Join):
     """Cells of whole sets -> per set the weight of its links in the cell (b null), and a forest of links (n null)."""
-    part = round(j.threshold * 1000)
+    # the threshold as it is written, so that links at the edge are not moved by rounding
+    part, of = Fraction(str(j.threshold)).as_integer_ratio()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
@@ -319,7 +322,7 @@ def _verify(j: Join):
             size = np.diff(off)
             every = np.arange(len(size))
             common = _overlap(off, values, every, every).astype(np.int64)
-            links = 1000 * common >= part * (size[:, None] + size[None, :] - common)
+            links = of * common >= part * (size[:, None] + size[None, :] - common)
             np.fill_diagonal(links, False)
             across = links[np.ix_(left, right)]
             n = across @ weight[right]
@@ -365,17 +368,23 @@ def _leaves(docs: DataFrame, reps: DataFrame, j: Join, store: Store) -> DataFram
     return out
 
 
-def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """One row per input row: doc_id, class_id (least doc_id of its group: documents connected by links), copy_id (least
-    doc_id of those with an equal token set) and n_links (other rows of similarity ``threshold`` or more).
+    doc_id of those with an equal token set), n_links (other rows of similarity ``threshold`` or more), n_tokens, and the columns
+    named in ``keep``.
 
     Words are runs of bytes other than space and tab to carriage return, taken unchanged. A text of fewer words than a
     token is one token of all its words; a null, empty or blank text has none, links with nothing and is its own class.
-    Repeated rows are copies of each other. Rows without a key are left out. An empty table gives an empty result.
+    Repeated rows are copies of each other. A row without a key takes part under a number of 2**62 or more made from its
+    text, which names a class only if none of its rows has a key. An empty table gives an empty result. Other columns are ignored.
     """
+    keep = keep or []
     store = Store(docs.sparkSession, "chosen-path")
-    run, schema = _signatures(j)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    own = F.col(key).cast("long")
+    made = F.lit(1 << 62) + F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    kept = docs.select(own.alias("key"), *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)))
+    run, schema = _signatures(j, ", ".join(f"{c} {kind}" for c, kind in kept.dtypes))
+    rows = docs.select(F.coalesce(own, made).alias("doc_id"), F.col(text).alias("text"), own.alias("key"), *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)))
     signatures = store.put(rows.mapInArrow(run, schema), "signatures")
     same = ["k1", "k2", "size"]
     classes = store.put(signatures.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("weight")), "classes")
@@ -400,5 +409,7 @@ def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: s
 
     verdicts = classes.join(links, "copy_id", "left").join(groups, "copy_id", "left")
     verdicts = verdicts.select(*same, "copy_id", F.coalesce("root", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = signatures.select("doc_id", *same).join(verdicts, same, "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    verdicts = store.put(verdicts, "verdicts")
+    out = signatures.select("doc_id", *same, "key", *(f"keep_{i}" for i in range(len(keep)))).join(verdicts, same, "left")
+    cols = [F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("size").cast("long").alias("n_tokens")]
+    return out.select(F.col("key").alias("doc_id"), *cols, *(F.col(f"keep_{i}").alias(k) for i, k in enumerate(keep)))

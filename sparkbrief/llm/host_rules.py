@@ -1,8 +1,9 @@
 """Quality rules judged by host, in DataFrame expressions only.
 
 Each document is measured by a few rules. Failures are summed by host, each host's failure rate is drawn towards
-the corpus by a beta prior fitted to all hosts by the method of moments, and hosts whose shrunk rate is too high
-lose all their documents.
+the corpus by a beta prior fitted to all hosts by the method of moments. A host loses all its documents where its rate is surely too
+high: where the posterior mean, less ``sure`` posterior standard deviations, is above ``max_rate``. A small host is
+drawn to the corpus and widely spread, so a few failures do not condemn it.
 
 Everything about one text is computed inside its row by array expressions. Repeated three-word windows are found
 without leaving the row: a long holds the upper 34 bits of a window's hash and, below them, its position, so
@@ -12,6 +13,7 @@ sorting primitive longs brings equal windows together; the few that meet are the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +26,14 @@ _POS = (1 << 30) - 1
 
 @dataclass(frozen=True)
 class HostRules:
-    """``min_words`` and ``max_repeat`` (share of words in repeated windows) make a document fail; ``max_rate`` is
-    the highest shrunk failure rate at which a host keeps its documents."""
+    """``min_words`` and ``max_repeat`` (share of words in repeated windows) make a document fail. A host keeps its documents up to a
+    failure rate of ``max_rate``, which by default means that most of them fail; ``sure`` standard deviations of certainty
+    (1.645: 95 % of a normal distribution) are asked for before it loses them."""
 
     min_words: int = 50
     max_repeat: float = 0.5
-    max_rate: float = 0.95
+    max_rate: float = 0.5
+    sure: float = 1.645
 
 
 def words(text: Column) -> Column:
@@ -79,24 +83,27 @@ def measure(docs: DataFrame, text: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, rules: HostRules = HostRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """One row per input row: key, host, the measures, ``base_failed``, the host's ``host_docs``, ``host_failed`` and
-    ``host_rate`` (shrunk), and ``kept``.
+    """One row per input row: key, host, the measures, ``base_failed``, the host's ``host_docs``, ``host_failed``,
+    ``host_rate`` (shrunk: the posterior mean) and ``host_least`` (what it surely exceeds), and ``kept``.
 
     A null host is a host of its own. Null and empty texts have no words and fail. Repeated rows each count and each
     come back. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     store = Store(docs.sparkSession, "host-rules")
     rows = measure(docs.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("_text")), "_text")
-    # exact integers, so that the edge of the share is not moved by rounding
-    share = round(rules.max_repeat * 1000)
-    rows = rows.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (1000 * F.col("n_repeat_words") > share * F.col("n_words")))
+    # the share as it is written, in exact integers, so that its edge is not moved by rounding
+    part, of = Fraction(str(rules.max_repeat)).as_integer_ratio()
+    rows = rows.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (of * F.col("n_repeat_words") > part * F.col("n_words")))
     # texts are read once: the measures are small and are written, since they are used for the sums and for the verdicts
     rows = store.put(rows, "measures")
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     prior = fit_beta(hosts, "host_failed", "host_docs")
-    hosts = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", (F.col("host_failed") + F.col("alpha")) / (F.col("host_docs") + F.col("alpha") + F.col("beta")))
+    # the prior is one row
+    n, rate = F.col("host_docs") + F.col("alpha") + F.col("beta"), F.col("host_rate")
+    hosts = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", (F.col("host_failed") + F.col("alpha")) / n)
+    hosts = hosts.withColumn("host_least", rate - rules.sure * F.sqrt(rate * (1 - rate) / (n + 1)))
     joined = rows.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), "left")
-    bad = F.col("host_rate") > rules.max_rate
+    bad = F.col("host_least") > rules.max_rate
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).drop("h", "alpha", "beta")
 
 

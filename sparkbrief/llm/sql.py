@@ -20,8 +20,9 @@ b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source),
 mv AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
 st AS (SELECT m, least(1e6, greatest(1.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e6 END)) AS s FROM mv),
-r AS (SELECT source, (f + m * s) / (n + s) AS rate FROM h, st)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND rate <= 0.95) AS kept
+q AS (SELECT source, n, s, (f + m * s) / (n + s) AS rate FROM h, st),
+r AS (SELECT source, rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) AS least FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND least <= 0.5) AS kept
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 
@@ -53,7 +54,7 @@ FROM u LEFT JOIN x ON u.rid = x.rid AND u.i = x.i GROUP BY u.rid
 _FOLDED = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 op8_contamination = rf"""
-WITH b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
 s AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
 v AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_FOLDED} AS w FROM documents),
@@ -62,7 +63,7 @@ z AS (SELECT DISTINCT n FROM v),
 x AS (SELECT rid, i, z.n, array_to_string(list_slice(w, i, i + z.n - 1), ' ') AS k FROM p, z WHERE i + z.n - 1 <= len(w)),
 h AS (SELECT rid, i, x.n, item_id FROM x JOIN v ON x.k = v.k AND x.n = v.n),
 c AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS q FROM h) GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM h) GROUP BY rid)
+t AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
 FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN t ON d.rid = t.rid

@@ -159,8 +159,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataF
     is_url = ~F.col("node").startswith("//")
     votes = classes.withColumn("own", F.when(is_url, judged(F.col("node"))["verdict"]))
     votes = votes.groupBy("root").agg(F.max(F.col("own") == "block").alias("blocked"), F.max(F.col("own") == "allow").alias("allowed"), F.min(F.when(is_url, F.col("node"))).alias("class_url"))
+    # written, as every table here that is joined by a key of which one value may hold very many rows
+    votes = store.put(votes, "votes")
     inherited = classes.join(votes, "root").select(F.col("node").alias("url"), "class_url", (F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))).alias("bad"))
 
+    inherited = store.put(inherited, "inherited")
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url")).join(inherited, "url", "left")
     rows = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), judged(F.col("url")).alias("own"), F.coalesce("class_url", "url").alias("class_url"), F.coalesce("bad", F.lit(False)).alias("bad"))
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("bad"), "block").otherwise("allow"))

@@ -70,28 +70,3 @@ def test_quality_held_out(spark):
     clash = docs.limit(5).withColumns({"score": F.lit(1), "keep_0": F.lit(2)})
     assert quality.score(clash, m).count() == 5 and quality.score(docs.limit(0), m).count() == 0
     assert toxicity.score(docs.limit(0), toxicity.train(pa.array([], pa.string()), np.zeros(0))).count() == 0
-
-
-def test_pipeline_stages_against_brute_force(spark):
-    """Each stage's decisions, on a small table, are those of its operator's brute-force statement."""
-    import corpus_pipeline as c
-
-    names = [n for n, _ in c.STAGES]
-    assert names == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
-    docs = table(spark, SF, "documents").where("doc_id < 200")
-    item = table(spark, SF, "benchmark").first().text
-    long = " ".join(f"w{i}" for i in range(40))
-    extra = [(10_000, f"{long} a", "en", "s", 1), (10_001, f"{long} b", "en", "s", 1), (10_002, f"x {item} y", "en", "s", 1), (10_003, None, None, None, None)]
-    d = docs.unionByName(spark.createDataFrame(extra, docs.schema))
-    near = c.drop_near_copies(spark, d, SF)
-    ids = {r.doc_id for r in near.select("doc_id").collect()}
-    assert 10_000 in ids and 10_001 not in ids and 10_003 in ids and near.columns == c.COLUMNS
-    clean = {r.doc_id for r in c.drop_contaminated(spark, d, SF).select("doc_id").collect()}
-    assert 10_002 not in clean and {10_000, 10_003} <= clean
-    lines = c.drop_lines(spark, d, SF)
-    assert lines.count() == d.count() and lines.columns == c.COLUMNS
-    assert lines.where("doc_id = 10003 and text is null").count() == 1
-    mixed = c.mix(spark, d, SF)
-    assert mixed.where("taken <= 0 or taken > 2 * size").count() == 0
-    sums = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want")).collect()
-    assert all(abs(r.t - r.want) <= 1 for r in sums)
