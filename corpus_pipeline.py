@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkbrief.llm import toxicity
-from sparkbrief.llm._store import Store
+from sparkbrief.llm._store import Store, freed
 from sparkbrief.llm.chosen_path import similar_groups
 from sparkbrief.llm.contamination import scan
 from sparkbrief.llm.line_runs import dropped_lines, strip_lines
@@ -35,9 +35,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least doc_id stays. Rows without a doc_id stay; rows that share one are one document."""
-    copies = similar_groups(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates one row stays: the least doc_id, a row without one only if all of the group are. Texts without words
+    belong to no group and stay."""
+    text = F.coalesce("text", F.lit(""))
+    # a row is known by its doc_id and two hashes of its text; rows alike in these are copies
+    rows = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(1), text).alias("x2"))
+    row = ["none", "id", "x1", "x2"]
+    groups = similar_groups(rows, keep=row).where("n_tokens > 0")
+    first = Store(spark, "near-copies").put(groups.groupBy("class_id").agg(F.min(F.struct(*row)).alias("r")).select("r.*"), "first")
+    worded = F.col("text").rlike(r"[^ \t-\r]")
+    # equal rows become one before any of them meet
+    once = rows.where(worded).groupBy(*row).agg(F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("o"))
+    once = once.join(first, row, "left_semi").select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "text", "o.*")
+    return once.select(*COLUMNS).unionByName(docs.where(~F.coalesce(worded, F.lit(False))).select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +57,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with the words it takes of each; documents of which it takes none are not listed."""
-    return Mixture(docs).taken().where("taken > 0")
+    """The mix itself: (shard, place, doc_id, source, pass_, first, words, text), a row a block of a document's words. A shard is read in the
+    order of ``place``."""
+    return Mixture(docs).blocks(docs)
 
 
 STAGES = [
@@ -64,8 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage. Columns of documents beyond ``COLUMNS`` take no part. A stage's own tables go once its result is written,
+    and its input with them."""
     store = Store(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = store.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with freed():
+            docs = store.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            store.drop(before)
+        before = docs
     return docs
