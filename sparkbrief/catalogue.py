@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import brief, frames, recall, sections, sessions, streams
+from .queries import adapters, brief, frames, recall, sections, sessions, streams
 
-_MODULES = (recall, sessions, sections, brief, frames, streams)
+_MODULES = (recall, sessions, sections, brief, frames, streams, adapters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,6 +49,23 @@ def snippet(text: pd.Series, pos: pd.Series, most: pd.Series, folded: pd.Series)
     return pd.Series([None if t is None else snippet_of(t, 0 if p is None or math.isnan(p) else max(0, int(p) - 1), int(m), bool(f)) for t, p, m, f in zip(text, pos, most, folded, strict=True)])
 
 
+def shrink(page: str, budget: int) -> list[str]:
+    """The snippets of a page (JSON with ``hits``), all cut by a quarter again and again until it has at most ``budget`` bytes as compact JSON."""
+    whole = json.loads(page)
+    while len(json.dumps(whole, ensure_ascii=False, separators=(",", ":")).encode()) > budget:
+        if not any(h["snippet"] for h in whole["hits"]):
+            raise ValueError("max_output_bytes too small for result metadata")
+        for h in whole["hits"]:
+            raw = (h["snippet"] or "").encode()
+            h["snippet"] = _cut(raw, len(raw) * 3 // 4).decode()
+    return [h["snippet"] for h in whole["hits"]]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def shrunk(page: pd.Series, budget: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else shrink(p, int(b)) for p, b in zip(page, budget, strict=True)])
+
+
 def classify(text: str | None) -> str:
     """empty, json or text: JSON only if the whole text is one object or array."""
     t = (text or "").strip()

@@ -56,6 +56,29 @@ def in_cycles(blocks: DataFrame) -> DataFrame:
     return up.select(*KEY)
 
 
+def cut_reanchored(n: DataFrame) -> DataFrame:
+    """Nodes (session_id, entry_id, seq, parent_id, logical) without the logical links that lead back to their own start: of each cycle the
+    first such link is taken away. Cycles of other links stay, for ``check`` to find.
+
+    By doubling: far enough up, an entry that never reaches a root stands on its cycle, and the least logical link that it has passed on
+    the way round is the one to cut.
+    """
+    n = written(n.select(*KEY, "seq", "parent_id", "logical"), "linked")
+    if n.where("logical").isEmpty():
+        return n
+    known = n.select("session_id", F.col("entry_id").alias("parent_id"))
+    up = n.join(known, ["session_id", "parent_id"], "left_semi").select(*KEY, F.col("parent_id").alias("far"), F.when(F.col("logical"), F.col("seq")).alias("least"))
+    for _ in range(_rounds(n)):
+        more = up.select("session_id", F.col("entry_id").alias("far"), F.col("far").alias("farther"), F.col("least").alias("then"))
+        up = written(up.join(more, ["session_id", "far"]).select(*KEY, F.col("farther").alias("far"), F.least("least", "then").alias("least")), "up")
+        if up.isEmpty():
+            return n
+    round_ = up.select("session_id", F.col("far").alias("entry_id")).distinct()
+    cut = up.join(round_, KEY, "left_semi").select(*KEY, "least")
+    out = n.join(cut, KEY, "left")
+    return out.withColumn("parent_id", F.when(~(F.col("logical") & (F.coalesce("least", F.lit(-1)) == F.col("seq"))), F.col("parent_id"))).drop("least")
+
+
 def depths(blocks: DataFrame) -> DataFrame:
     """(session_id, entry_id, seq, depth, root): entries on the way up; those in or above cycles are left out."""
     n = written(orphans_to_roots(nodes(blocks)), "nodes")

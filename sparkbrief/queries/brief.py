@@ -16,7 +16,7 @@ QUERIES, ORACLES, register = registry()
 
 _LOG = f"WITH {derived.BLOCKS_SQL},"
 _REFS = f"""{_LOG} t AS (SELECT * FROM blocks WHERE kind = 'message' AND session_id LIKE 'u%'),
-    c AS (SELECT *, CASE WHEN type = 'toolResult' AND call_id IS NOT NULL THEN (SELECT max(k.seq) FROM t k WHERE k.session_id = t.session_id AND k.call_id = t.call_id AND k.type = 'toolCall' AND k.seq < t.seq) END AS of FROM t WHERE type IN ('toolCall', 'toolResult')),
+    c AS (SELECT *, CASE WHEN type = 'toolResult' AND call_id IS NOT NULL THEN max(CASE WHEN type = 'toolCall' THEN seq END) OVER (PARTITION BY session_id, call_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS of FROM t WHERE type IN ('toolCall', 'toolResult')),
     n AS (SELECT *, CASE WHEN type = 'toolCall' OR of IS NULL THEN sum(CASE WHEN type = 'toolCall' OR of IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) END AS own FROM c),
     f AS (SELECT n.*, CAST(coalesce(n.own, m.own) AS BIGINT) AS ref FROM n LEFT JOIN n m ON m.session_id = n.session_id AND m.seq = n.of)"""
 _QUOTE = "'\"' || replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"'"

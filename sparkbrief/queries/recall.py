@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import messages, recall
+from ..operators.evaluate import STOP, query_terms
 from ..schema import Recall
 from ..sources import derived
 from . import registry
@@ -55,9 +56,42 @@ def recall_role_filter(spark, sf_dir):
     return _page(derived.chats(spark, sf_dir), Recall("an", role="user"))
 
 
-@register(_sql(["e"], "session_id = 'c3' AND seq > 0 AND seq < 3"))
+@register(_sql(["e"], "session_id LIKE 'c%' AND seq > 0 AND seq < 3 AND session_id IN (SELECT session_id FROM blocks WHERE seq IN (0, 3) GROUP BY session_id HAVING count(DISTINCT seq) = 2)").replace("seq, entry_id, role, tool_name, CASE", "seq, 'm' || CAST(seq AS VARCHAR) AS entry_id, role, tool_name, CASE"))
 def recall_entry_range(spark, sf_dir):
-    return _page(derived.chats(spark, sf_dir), Recall("e", after_entry="c3-0", before_entry="c3-3"))
+    """The messages between the first and the fourth of every conversation, which all number theirs alike."""
+    d = derived.chats(spark, sf_dir).withColumn("entry_id", F.concat(F.lit("m"), F.col("seq").cast("string")))
+    r = Recall("e", after_entry="m0", before_entry="m3")
+    recall.check_range(d, r)
+    return _page(d, r)
+
+
+_PATH = f"""WITH RECURSIVE {derived.BLOCKS_SQL}, nodes AS (SELECT session_id, entry_id, seq, parent_id FROM blocks WHERE session_id LIKE 'u%'),
+    leaf AS (SELECT session_id, arg_max(entry_id, seq) AS entry_id FROM nodes GROUP BY session_id),
+    up AS (SELECT nodes.session_id, nodes.entry_id, nodes.parent_id FROM nodes JOIN leaf USING (session_id, entry_id) UNION ALL SELECT nodes.session_id, nodes.entry_id, nodes.parent_id FROM up JOIN nodes ON nodes.session_id = up.session_id AND nodes.entry_id = up.parent_id),"""
+
+
+@register(_sql(["step", "error"], "session_id LIKE 'u%'"))
+def recall_scope_all(spark, sf_dir):
+    """All entries of each session, on its active path or not."""
+    return _page(derived.tools(spark, sf_dir), Recall("step error"))
+
+
+@register(_sql(["step", "error"], "session_id LIKE 'u%' AND (session_id, entry_id) IN (SELECT session_id, entry_id FROM up)", log=_PATH))
+def recall_scope_lineage(spark, sf_dir):
+    """The entries from each session's root to its leaf."""
+    d = recall.search_lineage(derived.tools(spark, sf_dir), Recall("step error"))
+    return d.select("session_id", "rank", "entry_id", "role", F.round("score", 6).alias("score"), "total", "page_count", "searched")
+
+
+@register(f"""{_LOG}
+    m AS (SELECT session_id, seq, entry_id, {_PIECE} AS t FROM blocks WHERE kind = 'message'),
+    f AS (SELECT *, (strlen(lower(t)) - strlen(replace(lower(t), 'report', ''))) // 6 AS n FROM m WHERE t <> ''),
+    c AS (SELECT count(*) AS searched, count(*) FILTER (n > 0) AS d FROM f),
+    r AS (SELECT session_id, entry_id, searched, d AS total, row_number() OVER (ORDER BY ln(1 + n) * greatest(ln(searched / greatest(d, 1)), 0.5) DESC, session_id, seq) AS rank FROM f, c WHERE n > 0)
+    SELECT session_id, entry_id, CAST(rank AS INTEGER) AS rank, total, searched FROM r WHERE rank > 5 AND rank <= 10""")
+def recall_all_sessions(spark, sf_dir):
+    """The second page of one ranking over all sessions."""
+    return recall.search_all(derived.blocks(spark, sf_dir), Recall("report", page=2)).select("session_id", "entry_id", "rank", "total", "searched")
 
 
 @register(_sql(["error", "name"], "session_id LIKE 'u%' AND role = 'toolResult' AND tool_name = 'bash'"))
@@ -84,7 +118,12 @@ def recall_df(spark, sf_dir):
     return recall.statistics(recall.searched(derived.chats(spark, sf_dir), r), recall.terms(r.query))
 
 
-@register()
+@register(_sql(["error", "name"], "session_id LIKE 'u%'").replace("seq, entry_id, role, c.searched,", "seq, entry_id, role, t, n0, n1, c.searched,").rsplit("SELECT session_id, CAST(rank", 1)[0] + """
+    , p AS (SELECT *, least(CASE WHEN n0 > 0 THEN instr(lower(t), 'error') END, CASE WHEN n1 > 0 THEN instr(lower(t), 'name') END) AS pos FROM r WHERE rank <= 5),
+    q AS (SELECT *, greatest(0, pos - 1 - 32) AS start FROM p),
+    b AS (SELECT *, substr(t, start + 1) AS body, CASE WHEN start > 0 THEN '…' ELSE '' END AS lead FROM q)
+    SELECT session_id, CAST(rank AS INTEGER) AS rank, entry_id, lead || CASE WHEN strlen(body) <= 128 - strlen(lead) THEN body ELSE left(body, CAST(125 - strlen(lead) AS BIGINT)) || '…' END AS snippet,
+           concat_ws(' ', CASE WHEN n0 > 0 THEN 'error' END, CASE WHEN n1 > 0 THEN 'name' END) AS matched FROM b""")
 def recall_snippets(spark, sf_dir):
     r = Recall("error name", snippet_bytes=128)
     d = recall.search(derived.tools(spark, sf_dir), r)
@@ -112,6 +151,17 @@ def recall_hit_at_k(spark, sf_dir):
     return hit_at_k(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+
+
+@register(f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_.-]{{3,}}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z][a-z0-9_.-]{{3,}}'), 1) AS pos FROM benchmark),
+    f AS (SELECT item_id, w, count(*) AS n, min(pos) AS pos FROM w WHERE w NOT IN ({_STOP}) GROUP BY item_id, w),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, n, pos) AS k FROM f)
+    SELECT item_id, string_agg(w, ' ' ORDER BY k) AS terms FROM r WHERE k <= 4 GROUP BY item_id""")
+def rare_term_queries(spark, sf_dir):
+    return query_terms(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
+
+
 @register(f"""{_LOG} m AS (SELECT session_id, role, CASE type WHEN 'toolCall' THEN strlen(arguments) ELSE strlen(text) END AS b FROM blocks WHERE kind = 'message')
     SELECT session_id, role, count(*) AS messages, CAST(sum(b) AS BIGINT) AS bytes FROM m GROUP BY session_id, role""")
 def stats_by_role(spark, sf_dir):

@@ -106,10 +106,40 @@ def tree_depths(spark, sf_dir):
     return d.groupBy("session_id").agg(F.count("*").alias("entries"), F.countDistinct("root").alias("roots"), F.max("depth").alias("deepest"))
 
 
-@register(f"{_TREE} x AS (SELECT * FROM n WHERE seq % 20 <> 5) SELECT session_id, entry_id, parent_id FROM x WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x p WHERE p.session_id = x.session_id AND p.entry_id = x.parent_id)")
+#: Some results name parents that are not there.
+_ORPHANS = "x AS (SELECT session_id, entry_id, seq, CASE WHEN seq % 20 = 6 THEN 'gone-' || parent_id ELSE parent_id END AS parent_id FROM n)"
+
+
+def _orphans(spark, sf_dir):
+    d = derived.tools(spark, sf_dir)
+    return d.withColumn("parent_id", F.when(F.col("seq") % 20 == 6, F.concat(F.lit("gone-"), "parent_id")).otherwise(F.col("parent_id")))
+
+
+@register(f"{_TREE} {_ORPHANS} SELECT session_id, entry_id, parent_id FROM x WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x p WHERE p.session_id = x.session_id AND p.entry_id = x.parent_id)")
 def tree_missing_parent(spark, sf_dir):
-    """The log without some calls: their results have lost their parents."""
-    return tree.missing_parents(derived.tools(spark, sf_dir).where("seq % 20 <> 5"))
+    return tree.missing_parents(_orphans(spark, sf_dir))
+
+
+_FORWARD = """m AS (SELECT session_id, seq, entry_id, parent_id, lead(entry_id, 4) OVER (PARTITION BY session_id ORDER BY seq) AS ahead FROM n),
+    c AS (SELECT session_id, seq, entry_id, CASE WHEN seq % 100 = 5 THEN ahead ELSE parent_id END AS parent_id FROM m)"""
+
+
+def _forward(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    ahead = F.lead("entry_id", 4).over(Window.partitionBy("session_id").orderBy("seq"))
+    d = derived.tools(spark, sf_dir).withColumn("ahead", ahead)
+    return d.withColumn("parent_id", F.when(F.col("seq") % 100 == 5, F.col("ahead")).otherwise(F.col("parent_id"))).drop("ahead")
+
+
+@register(f"""{_TREE} {_FORWARD},
+    up AS (SELECT session_id, entry_id AS start, parent_id AS pos FROM c WHERE seq % 100 = 5 AND parent_id IS NOT NULL UNION SELECT up.session_id, up.start, c.parent_id FROM up JOIN c ON c.session_id = up.session_id AND c.entry_id = up.pos WHERE up.pos <> up.start AND c.parent_id IS NOT NULL)
+    SELECT DISTINCT session_id, start AS entry_id FROM up WHERE pos = start""")
+def reanchored_links(spark, sf_dir):
+    """The log with some parents turned forward, as links that may be cut: those cut are the ones that lead back to their start."""
+    n = _forward(spark, sf_dir).select("session_id", "entry_id", "seq", "parent_id", (F.col("seq") % 100 == 5).alias("logical"))
+    out = tree.cut_reanchored(n.where("entry_id is not null"))
+    return n.where("logical and parent_id is not null").select("session_id", "entry_id").join(out.where("parent_id is null").select("session_id", "entry_id"), ["session_id", "entry_id"])
 
 
 @register(f"""{_TREE} m AS (SELECT session_id, seq, entry_id, parent_id, lead(entry_id, 4) OVER (PARTITION BY session_id ORDER BY seq) AS ahead FROM n),
@@ -118,21 +148,17 @@ def tree_missing_parent(spark, sf_dir):
     SELECT session_id, count(*) AS in_cycles FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.session_id = c.session_id AND d.entry_id = c.entry_id) GROUP BY session_id""")
 def tree_cycle_check(spark, sf_dir):
     """The log with some parents turned forward: entries from which no root is reached."""
-    from pyspark.sql.window import Window
-
-    d = derived.tools(spark, sf_dir)
-    ahead = F.lead("entry_id", 4).over(Window.partitionBy("session_id").orderBy("seq"))
-    d = d.withColumn("ahead", ahead).withColumn("parent_id", F.when(F.col("seq") % 100 == 5, F.col("ahead")).otherwise(F.col("parent_id"))).drop("ahead")
+    d = _forward(spark, sf_dir)
     return tree.in_cycles(d).groupBy("session_id").agg(F.count("*").alias("in_cycles"))
 
 
-@register(f"""{_TREE} x AS (SELECT *, lag(entry_id) OVER (PARTITION BY session_id ORDER BY seq) AS prev FROM n WHERE seq % 20 <> 5),
-    y AS (SELECT session_id, entry_id, seq, CASE WHEN parent_id IN (SELECT entry_id FROM x q WHERE q.session_id = x.session_id) THEN parent_id ELSE prev END AS parent_id FROM x),
+@register(f"""{_TREE} {_ORPHANS}, w AS (SELECT *, lag(entry_id) OVER (PARTITION BY session_id ORDER BY seq) AS prev FROM x),
+    y AS (SELECT session_id, entry_id, seq, CASE WHEN parent_id IN (SELECT entry_id FROM w q WHERE q.session_id = w.session_id) THEN parent_id ELSE prev END AS parent_id FROM w),
     leaf AS (SELECT session_id, arg_max(entry_id, seq) AS entry_id FROM y GROUP BY session_id),
     up AS (SELECT y.session_id, y.entry_id, y.parent_id FROM y JOIN leaf USING (session_id, entry_id) UNION ALL SELECT y.session_id, y.entry_id, y.parent_id FROM up JOIN y ON y.session_id = up.session_id AND y.entry_id = up.parent_id)
     SELECT session_id, count(*) AS entries FROM up GROUP BY session_id""")
 def active_branch(spark, sf_dir):
-    d = tree.active_branch(derived.tools(spark, sf_dir).where("seq % 20 <> 5"))
+    d = tree.active_branch(_orphans(spark, sf_dir))
     return d.groupBy("session_id").agg(F.count("*").alias("entries"))
 
 

@@ -38,7 +38,7 @@ def stream_brief_merge(spark, sf_dir):
     folder = _folder(spark)
     s = _as_stream(spark, derived.tools(spark, sf_dir), folder, 3)
     incremental.run_all(lambda: incremental.brief_stream(s, f"{folder}/state", f"{folder}/cp"))
-    return spark.read.parquet(f"{folder}/state").where("batch = 2").drop("batch")
+    return incremental.brief_state(spark.read.parquet(f"{folder}/state"))
 
 
 @register(f"""WITH {derived.BLOCKS_SQL}, t AS (SELECT session_id, CAST(trunc(sum(CASE type WHEN 'toolCall' THEN strlen(arguments) ELSE strlen(text) END) / 3.8) AS BIGINT) AS tokens FROM blocks WHERE kind = 'message' GROUP BY session_id)

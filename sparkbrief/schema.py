@@ -80,3 +80,42 @@ class Frames:
     tokens_per_frame: int | None = None
     chars_per_token: float = 3.8
     min_bytes: int = 6_000
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a host may set. ``parse`` takes any JSON value: unknown names and values of other types are left as they are by default."""
+
+    policy: str = "auto"
+    override: bool = True
+    smart: bool = True
+    keep: int | None = None
+    frames: bool = True
+    min_chars: int = 6_000
+    placement: str = "nextUser"
+    tokens_per_frame: float | None = None
+    providers: tuple[str, ...] = ()
+    snapshots: bool = True
+    debug: bool = False
+
+    @classmethod
+    def parse(cls, raw: object) -> Settings:
+        top = raw if isinstance(raw, dict) else {}
+        inner = lambda name: top.get(name) if isinstance(top.get(name), dict) else {}
+        frames, snapshots = inner("snap"), inner("snapshot")
+        number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and v == v and abs(v) != float("inf")
+        flag = lambda v: isinstance(v, bool)
+        asked = (
+            ("policy", top, "policy", lambda v: v in ("auto", "vcc", "snap"), str),
+            ("override", top, "overrideDefaultCompaction", flag, bool),
+            ("smart", top, "smartKeepTail", flag, bool),
+            ("keep", top, "keepUserTurns", lambda v: v is None or number(v), lambda v: None if v is None else max(0, int(v // 1))),
+            ("frames", frames, "enabled", flag, bool),
+            ("min_chars", frames, "minChars", number, lambda v: max(0, v)),
+            ("placement", frames, "placement", lambda v: v in ("nextUser", "inline"), str),
+            ("tokens_per_frame", frames, "imageTokensPerFrame", lambda v: v is None or number(v), lambda v: v),
+            ("providers", frames, "providers", lambda v: isinstance(v, list), lambda v: tuple(x for x in v if isinstance(x, str))),
+            ("snapshots", snapshots, "enabled", flag, bool),
+            ("debug", top, "debug", flag, bool),
+        )
+        return cls(**{name: made(of[key]) for name, of, key, fits, made in asked if key in of and fits(of[key])})

@@ -35,7 +35,7 @@ rows_ AS (
   UNION ALL
   SELECT s, rk * 4 + 1, s || '-' || r || 'c', 'message', 'assistant', 'toolCall', CAST(NULL AS STRING), 'k' || e, tool,
          CASE WHEN tool <> 'bash' THEN '{"path":"/Users/x/dev/app/src/f' || f || '.ts"}'
-              WHEN event_type = 'purchase' THEN '{"command":"git add -A && git commit -m ''step ' || r || ' done''"}'
+              WHEN event_type = 'purchase' THEN '{"command":"git commit -q -m ''step ' || r || ' closed''"}'
               ELSE '{"command":"make f' || f || '"}' END, false, CAST(NULL AS STRING), CAST(NULL AS STRING)
   FROM named
   UNION ALL

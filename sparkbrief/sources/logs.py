@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import role_name
-from ..operators.tree import KEY, check, orphans_to_roots
+from ..operators.tree import KEY, check, cut_reanchored, orphans_to_roots
 from ..schema import COLUMNS
 
 _J = F.get_json_object
@@ -109,7 +109,8 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Transcripts: records keyed ``uuid`` with ``parentUuid``, else ``logicalParentUuid``.
 
     Malformed lines, summaries, records without a uuid and side chains are left out; of records that share a uuid the first
-    stays; a parent that is unknown makes a root; meta records link the tree but hold no message.
+    stays; a parent that is unknown makes a root; a logical parent that stands among a record's own descendants is no parent; meta records
+    link the tree but hold no message.
     """
     rows = text_lines(spark, path).where(F.try_parse_json("raw").isNotNull() & F.col("raw").startswith("{"))
     named = rows.groupBy("file").agg(F.min_by(_J("raw", "$.sessionId"), F.when(F.coalesce(_J("raw", "$.sessionId"), F.lit("")) != "", F.col("seq"))).alias("header"))
@@ -118,7 +119,8 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     d = d.withColumn("session_id", F.coalesce(F.nullif("header", F.lit("")), F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?\z", 1))).withColumn("entry_id", _J("raw", "$.uuid"))
     d = d.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("seq"))).where("nth = 1")
     d = d.withColumn("parent_id", F.coalesce(F.nullif(_J("raw", "$.parentUuid"), F.lit("")), F.nullif(_J("raw", "$.logicalParentUuid"), F.lit(""))))
-    parents = orphans_to_roots(d.select(*KEY, "seq", "parent_id")).select(*KEY, "parent_id")
+    d = d.withColumn("logical", F.coalesce(_J("raw", "$.parentUuid"), F.lit("")) == "")
+    parents = orphans_to_roots(cut_reanchored(d.select(*KEY, "seq", "parent_id", F.col("logical") & F.col("parent_id").isNotNull()).toDF(*KEY, "seq", "parent_id", "logical"))).select(*KEY, "parent_id")
     d = d.drop("parent_id").join(parents, KEY)
     content = content_blocks(_J("raw", "$.message.content"))
     results = F.forall(content, lambda b: b["type"] == "toolResult") & (F.size(content) > 0)
@@ -144,7 +146,9 @@ def malformed(spark: SparkSession, path: str) -> DataFrame:
 
 def sniff(spark: SparkSession, path: str) -> str:
     """``transcript`` if the first line that is not blank is such a record, else ``tree``."""
-    row = spark.read.text(path).where(F.trim("value") != "").select(_J("value", "$.uuid").alias("u"), _J("value", "$.sessionId").alias("s"), _J("value", "$.type").alias("t")).first()
+    place = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")]
+    lines = spark.read.text(path).select(*place, "value").where(F.trim("value") != "").orderBy("f", "b", "i").limit(1)
+    row = lines.select(_J("value", "$.uuid").alias("u"), _J("value", "$.sessionId").alias("s"), _J("value", "$.type").alias("t")).first()
     return "transcript" if row and row.t not in (None, "session") and (row.u or row.s) else "tree"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,9 +12,14 @@ from ..functions.text import block_size, tokens
 from ..operators import brief, sections
 
 
-def archive(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append blocks to an archive partitioned by session: every block once, whatever restarts."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("session_id").trigger(availableNow=True).start()
+def part_of(parts: int) -> Column:
+    """The part, of a fixed number, that a session's rows are kept in."""
+    return F.pmod(F.xxhash64("session_id"), F.lit(parts)).cast("int")
+
+
+def archive(stream: DataFrame, path: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Append blocks to an archive, a folder for each part of the sessions: every block once, whatever restarts."""
+    return stream.withColumn("part", part_of(parts)).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("part").trigger(availableNow=True).start()
 
 
 def fold_sections(old: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -23,20 +28,53 @@ def fold_sections(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     return new if old is None else brief.merge(old, new)
 
 
-def brief_stream(stream: DataFrame, state_dir: str, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch into the sections written for the batch before it, under ``state_dir/batch=N``.
+#: Sections by session with the part and the batch that wrote them.
+STATE = "session_id string, section string, ord int, item string, batch int, part int"
+
+
+def _newest(state: DataFrame, before: int | None = None) -> dict[int, int]:
+    """The last batch that wrote each part; a number for each part."""
+    d = state if before is None else state.where(F.col("batch") < before)
+    return {r.part: r.batch for r in d.groupBy("part").agg(F.max("batch").alias("batch")).collect()}
+
 
-    A batch that runs again after a failure reads the same predecessor and overwrites its own output.
+def _parts(state: DataFrame, of: dict[int, int]) -> DataFrame:
+    keep = F.lit(False)
+    for batch in sorted(set(of.values())):
+        keep = keep | ((F.col("batch") == batch) & F.col("part").isin([p for p, b in of.items() if b == batch]))
+    return state.where(keep).where("session_id is not null").drop("batch", "part")
+
+
+def brief_stream(stream: DataFrame, state_dir: str, checkpoint: str, parts: int = 16) -> StreamingQuery:
+    """Fold each micro-batch into the sections written before it. Sessions are kept in ``parts`` parts, and a batch reads and writes only the
+    parts of its own sessions, under ``state_dir/batch=N/part=K``.
+
+    A batch that runs again after a failure reads the same predecessors and overwrites its own output.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{state_dir}/batch={number - 1}") if number else None
-        fold_sections(old, batch).write.mode("overwrite").parquet(f"{state_dir}/batch={number}")
+        batch = batch.withColumn("part", part_of(parts))
+        # at most ``parts`` numbers
+        touched = sorted(r.part for r in batch.select("part").distinct().collect())
+        old = None
+        if number:
+            state = spark.read.schema(STATE).parquet(state_dir)
+            at = {p: b for p, b in _newest(state, number).items() if p in touched}
+            old = _parts(state, at) if at else None
+        new = fold_sections(old, batch.drop("part")).withColumn("part", part_of(parts))
+        # a row without a session says that the part was written, even if nothing is left in it
+        marks = spark.createDataFrame([(None, None, None, None, p) for p in touched], "session_id string, section string, ord int, item string, part int")
+        new.select("session_id", "section", F.col("ord").cast("int").alias("ord"), "item", "part").unionByName(marks).write.mode("overwrite").partitionBy("part").parquet(f"{state_dir}/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def brief_state(state: DataFrame) -> DataFrame:
+    """The sections of all sessions as the last batches left them. ``state``: the table under ``state_dir``."""
+    return _parts(state, _newest(state))
+
+
 def over_threshold(stream: DataFrame, window_tokens: int, share: float = 0.3, chars_per_token: float = 3.8) -> DataFrame:
     """(session_id, tokens, due): running token sums of sessions, and whether a share of the window is reached."""
     d = stream.where("kind = 'message'").groupBy("session_id").agg(F.sum(block_size()).alias("bytes"))

@@ -1,33 +1,40 @@
-"""Every query of the catalogue gives rows on the smallest tables; a sample agrees with its SQL."""
+"""Every query of the catalogue that has SQL agrees with it on the smallest tables; the others give rows."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["recall_terms_topk", "recall_role_filter", "recall_df", "stats_by_role", "token_estimate", "tool_name_asof", "sections_commits", "diagnostic_lines", "frame_economics", "route_blocks", "openai_entries", "tool_step_counts"]
-
-
 def test_names_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", SAMPLE)
-def test_against_sql(spark, name):
-    from pathlib import Path
+def _names():
+    from sparkbrief import catalogue
+
+    return sorted(catalogue.queries())
 
+
+@pytest.mark.parametrize("name", _names())
+def test_against_sql(spark, name):
     from sparkbrief import catalogue
 
+    got = catalogue.queries()[name](spark, SF)
+    cols = sorted(got.columns)
+    rows = sorted(str(tuple(r[c] for c in cols)) for r in got.collect())
+    sql = catalogue.oracle_sql().get(name)
+    if sql is None:
+        assert rows
+        return
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
         con.sql(f"create view {p.stem} as select * from '{p}'")
-    got = catalogue.queries()[name](spark, SF)
-    want = con.sql(catalogue.oracle_sql()[name])
-    cols = sorted(got.columns)
+    want = con.sql(sql)
     assert cols == sorted(want.columns)
-    rows = sorted(map(str, (tuple(r[c] for c in cols) for r in got.collect())))
-    assert rows and rows == sorted(map(str, want.select(*cols).fetchall()))
+    assert rows == sorted(map(str, want.select(*cols).fetchall()))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkbrief.functions import text, udfs
+from sparkbrief.functions.udfs import shrink
 from sparkbrief.operators import recall
 from sparkbrief.schema import Recall
 
@@ -84,8 +86,8 @@ def test_recall_options():
 
 
 def test_shrink():
-    rows = [{"snippet": "x" * 900}, {"snippet": "é" * 400}]
-    out = recall.shrink(rows, 1024, {"query": "q"})
-    assert sum(len(r["snippet"].encode()) for r in out) < 1024
+    page = json.dumps({"total": 2, "hits": [{"rank": 1, "snippet": "x" * 900}, {"rank": 2, "snippet": "é" * 400}]}, ensure_ascii=False)
+    out = shrink(page, 1024)
+    assert 300 < sum(len(x.encode()) for x in out) < 1024 and out[0].endswith("…")
     with pytest.raises(ValueError):
-        recall.shrink(rows, 10, {"query": "q"})
+        shrink(page, 10)
