@@ -1,6 +1,7 @@
 """Personal data: pattern matches, and words that give them away by the company they keep.
 
-Protected entities are e-mail and IP addresses, card and telephone numbers found by pattern. Removing an entity does not
+Protected entities are e-mail and IP addresses, card and telephone numbers found by pattern, and secrets: long runs of letters and digits
+that carry as much information a character as random ones. Removing an entity does not
 help if the words beside it name it all the same, so corpus co-occurrence decides about those. Over all documents the
 operator counts the documents with entity e, those with term t, and those with t in the context of e (``context``
 words to either side). The disclosure of e by t is the share of t's documents in which it stands by e, together with
@@ -30,8 +31,8 @@ from ._store import Store
 from ._words import Chunk, pieces, signed, span_hashes, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-#: Added by the method, after the pattern kinds: a term removed, a term generalised.
-ADDED = ("term", "hint")
+#: Added by the method, after the pattern kinds: a term removed, a term generalised, a secret.
+ADDED = ("term", "hint", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +40,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SECRET = re.compile(r"[A-Za-z0-9_+=]{20,}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -56,6 +58,8 @@ class Disclosure:
     bits: float = 3.0
     min_chars: int = 3
     max_terms: int = 1_000_000
+    secret_digits: int = 4
+    secret_bits: float = 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -92,6 +96,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def secrets(text: str, known: list[tuple[str, int, int]], d: Disclosure) -> list[tuple[str, int, int]]:
+    """Long runs with ``secret_digits`` digits and some letters whose characters have ``secret_bits`` bits of entropy each, outside known spans."""
+    out = []
+    for m in _SECRET.finditer(text):
+        run = m[0]
+        if sum(c.isdigit() for c in run) < d.secret_digits or not any(c.isalpha() for c in run) or any(a < m.end() and m.start() < b for _, a, b in known):
+            continue
+        share = np.unique(np.frombuffer(run.encode(), np.uint8), return_counts=True)[1] / len(run)
+        if -(share * np.log2(share)).sum() >= d.secret_bits:
+            out.append((ADDED[2], *m.span()))
+    return out
+
+
 def listed(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -140,23 +157,25 @@ def _found(d: Disclosure):
             np.cumsum((data == 0x40) | ((data >= 0x30) & (data <= 0x39)), out=hint[1:])
             some = hint[off[1:]] > hint[off[:-1]]
             spans: list[list] = [[] for _ in range(piece.num_rows)]
+            hidden: list[list] = [[] for _ in range(piece.num_rows)]
             pairs: list[list] = [[] for _ in range(piece.num_rows)]
             for i in np.flatnonzero(some):
                 text = data[off[i] : off[i + 1]].tobytes().decode()
                 spans[i] = base_spans(text)
-                if spans[i]:
-                    pairs[i] = contexts(text, spans[i], d)
+                hidden[i] = secrets(text, spans[i], d)
+                if spans[i] or hidden[i]:
+                    pairs[i] = contexts(text, spans[i] + hidden[i], d)
             low = iter(pc.utf8_lower(pa.array([p[1] for x in pairs for p in x], pa.string())).to_pylist())
             pairs = [[(e, next(low), a, b) for e, _, a, b in x] for x in pairs]
             count = [[sum(s[0] == k for s in x) for x in spans] for k in KINDS]
             sums = [hashlib.sha256(listed(x).encode()).hexdigest() for x in spans]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(1), *(pa.array(c, pa.int64()) for c in count), pa.array(sums, pa.string()),
-                 pa.array([[dict(zip(("kind", "a", "b"), s, strict=True)) for s in x] for x in spans], span), pa.array([[dict(zip("etab", p, strict=True)) for p in x] for x in pairs], pair)],
-                names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "found", "pairs"],
+                [piece.column(0), piece.column(1), *(pa.array(c, pa.int64()) for c in count), pa.array(sums, pa.string()), pa.array([len(x) for x in hidden], pa.int64()),
+                 pa.array([[dict(zip(("kind", "a", "b"), s, strict=True)) for s in x + y] for x, y in zip(spans, hidden, strict=True)], span), pa.array([[dict(zip("etab", p, strict=True)) for p in x] for x in pairs], pair)],
+                names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "n_secret", "found", "pairs"],
             )
 
-    return run, "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found array<struct<kind:string,a:int,b:int>>, pairs array<struct<e:string,t:string,a:int,b:int>>"
+    return run, "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, n_secret long, found array<struct<kind:string,a:int,b:int>>, pairs array<struct<e:string,t:string,a:int,b:int>>"
 
 
 def _term_hash(terms: pa.Array) -> np.ndarray:
@@ -201,7 +220,7 @@ def _hashed():
 
 
 def find(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, ``all_spans`` (kind, a, b: pattern matches and added
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_secret, ``all_spans`` (kind, a, b: pattern matches and added
     terms, by start and then kind) and ``spans``, the same as text. Places are code points, ends exclusive.
 
     Null and empty texts hold nothing. Repeated rows each count as a document and each come back. An empty table gives an
@@ -247,7 +266,7 @@ def find(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", key:
     ranked = F.array_sort(F.transform(F.concat("found", firm, soft), lambda s: F.struct(s["a"].alias("a"), F.array_position(order, s["kind"]).alias("k"), s["b"].alias("b"), s["kind"].alias("kind"))))
     out = out.withColumn("all_spans", F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("a"), s["b"].alias("b"))))
     text_of = F.array_join(F.transform("all_spans", lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "all_spans", text_of.alias("spans"))
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "n_secret", "all_spans", text_of.alias("spans"))
 
 
 def general(word: str) -> str:

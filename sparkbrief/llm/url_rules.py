@@ -111,13 +111,14 @@ def resolve(target: Column, base: Column) -> Column:
 
 def declared_targets(html: Column, url: Column) -> Column:
     """The urls, made absolute, that a page names as its canonical address or sends its reader to: of all its tags, seen from its
-    ``<base>`` if it has one, else from its own url."""
+    ``<base>`` if it has one, else from its own url. Tags within comments do not count; ``&amp;`` in a target is ``&``."""
+    html = F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(html)
     links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>?"), F.lit(0)), lambda tag: F.array_contains(F.split(fold(_attribute(tag, "rel")), r"\s+"), "canonical"))
     metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>?"), F.lit(0)), lambda tag: F.trim(fold(_attribute(tag, "http-equiv"))) == "refresh")
     named = F.concat(F.transform(links, lambda tag: F.trim(_attribute(tag, "href"))), F.transform(metas, lambda tag: F.regexp_extract(tag, r"""(?is)url\s*=\s*['"]?([^'"\s>;]+)""", 1)))
     base = _attribute(F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\b[^>]*>?", 0), "href")
     base = F.coalesce(resolve(F.trim(base), url), url)
-    return F.filter(F.transform(F.filter(named, lambda u: u != ""), lambda u: resolve(u, base)), lambda u: u.isNotNull())
+    return F.filter(F.transform(F.filter(named, lambda u: u != ""), lambda u: resolve(F.regexp_replace(u, "&(?:amp|#38);", "&"), base)), lambda u: u.isNotNull())
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:

@@ -414,6 +414,7 @@ def test_relative_targets(spark):
         ("http://e.com/x/y/z?q=1#f", canonical.format("../w/./v/..") + canonical.format("?p=2") + canonical.format("../../../../u"), ["http://e.com/x/w/", "http://e.com/x/y/z?p=2", "http://e.com/u"]),
         ("http://e.com", canonical.format("n") + canonical.format("/go?to=http://a.net/"), ["http://e.com/n", "http://e.com/go?to=http://a.net/"]),
         ("http://e.com/d", '<base href="/de/">' + canonical.format("m") + canonical.format("mailto:x@y.z"), ["http://e.com/de/m"]),
+        ("http://e.com/c", "<!-- " + canonical.format("http://a.net/") + " -->" + canonical.format("/q?a=1&amp;b=2") + "<!-- " + refresh.format("/z"), ["http://e.com/q?a=1&b=2"]),
         ("x.org/fr/", canonical.format("/a"), []),
         ("http://e.com/n", None, None),
     ]
@@ -421,4 +422,55 @@ def test_relative_targets(spark):
     got = {r.page_id: r.t for r in d.select("page_id", declared_targets(F.col("html"), F.col("url")).alias("t")).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}
     verdicts = {r.page_id: r.verdict for r in judge_urls(d).collect()}
-    assert [verdicts[i] for i in range(3)] == ["block"] * 3 and verdicts[7] == "allow"
+    assert [verdicts[i] for i in range(3)] == ["block"] * 3 and verdicts[7] == verdicts[8] == "allow"
+
+
+def test_secrets(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(0, f'plain token = "{key}" text'), (1, "a" * 40 + "1234 and 12345678901234567890123 and averyveryverylongwordindeed"), (2, f"mail {key}@x.org"), (3, None)]
+    got = {r.doc_id: r for r in disclosure.find(frame(spark, rows)).collect()}
+    assert got[0].n_secret == 1 and "secret:15:55" in got[0].spans.split(",") and got[0].base_sha256 == sha("")
+    assert got[1].n_secret == got[2].n_secret == got[3].n_secret == 0 and got[2].n_email == 1
+    assert disclosure.sanitise(rows[0][1], [("secret", 15, 55)]) == 'plain token = "[SECRET]" text'
+
+
+def test_similar_groups_on_a_table(spark):
+    """All links of a whole table, found by comparing every pair that shares a token: recall over links, and each document's count."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = WORDS.findall(r.text or "")
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    at = defaultdict(list)
+    for d, s in sets.items():
+        for t in s:
+            at[t].append(d)
+    shared = Counter(p for ids in at.values() for p in itertools.combinations(sorted(ids), 2))
+    links = Counter()
+    for (a, b), n in shared.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+    got = {r.doc_id: r.n_links for r in similar_groups(docs).collect()}
+    assert sum(links.values()) > 150
+    assert sum(min(got[d], n) for d, n in links.items()) >= 0.9 * sum(links.values())
+    assert got == {d: links[d] for d in sets}
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Every operator gives a row for each row, alike for equal ones, with repeated ids, and with a text of several megabytes."""
+    from sparkbrief.llm import quality, toxicity
+
+    long = " ".join(f"word{i % 977}" for i in range(400_000))
+    rows = [(1, "one two three"), (1, "one two three"), (1, "another text under this id"), (None, "no id"), (None, "no id"), (2, long), (3, None), (3, ""), (4, "x" * 300_000)]
+    d = frame(spark, rows)
+    bench = spark.createDataFrame([(1, "one two three"), (1, "one two three")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (None, 1, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    results = [
+        Mixture(d).taken(), host_rules.judge(d), remove_repeats(d), dedup_lines(d), scan(d, bench), similar_groups(d), disclosure.find(d),
+        toxicity.score(d, toxicity.fit(d, labels, "toxic")), quality.score(d, quality.fit(d, labels, "quality")),
+        judge_urls(d.select(F.col("doc_id").alias("page_id"), F.lit("http://a.net/x").alias("url"), F.col("text").alias("html"))).withColumnRenamed("page_id", "doc_id"),
+    ]
+    for df in results:
+        out = df.collect()
+        assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
