@@ -198,7 +198,8 @@ def strip_lines(docs: DataFrame, lines: DataFrame, min_chars: int = 20, text: st
     text), and the columns named in ``keep``."""
     keep = keep or []
     kept_cols = [F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)]
-    joined = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *kept_cols).join(lines, "doc_id", "left")
+    # merged at every size: the table of lost lines grows with the documents, so it is not broadcast where it happens to be small
+    joined = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *kept_cols).join(lines.hint("merge"), "doc_id", "left")
     joined = joined.select("doc_id", "text", "lines", *(f"keep_{i}" for i in range(len(keep))))
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", {c} {kind}" for c, kind in joined.dtypes[3:])
     return joined.mapInArrow(_strip(min_chars, with_text), schema).withColumnsRenamed({f"keep_{i}": k for i, k in enumerate(keep)})
