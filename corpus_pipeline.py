@@ -41,7 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # a row is known by its doc_id and two hashes of its text; rows alike in these are copies
     rows = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(1), text).alias("x2"))
     row = ["none", "id", "x1", "x2"]
-    groups = similar_groups(rows, keep=row).where("n_tokens > 0")
+    # compared under a key of their own: texts that share a doc_id are texts apart
+    groups = similar_groups(rows.withColumn("key", F.xxhash64(*row)), key="key", keep=row).where("n_tokens > 0")
     first = Store(spark, "near-copies").put(groups.groupBy("class_id").agg(F.min(F.struct(*row)).alias("r")).select("r.*"), "first")
     worded = F.col("text").rlike(r"[^ \t-\r]")
     # equal rows become one before any of them meet
