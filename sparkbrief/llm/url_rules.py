@@ -10,7 +10,7 @@ edges, and rules, a short list given by the caller, are the only thing put into
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,45 +80,60 @@ def normal_form(url: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which stands in the plan once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 1)
-    other = [F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", i) for i in (2, 3)]
-    return F.coalesce(F.nullif(value, F.lit("")), *(F.nullif(o, F.lit("")) for o in other))
+    pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return _let(tag, lambda t: F.coalesce(*(F.nullif(F.regexp_extract(t, pattern, i), F.lit("")) for i in (1, 2, 3))))
 
 
-def resolve(target: Column, base: Column) -> Column:
-    """``target`` as an absolute url, read as a link on a page at ``base``; null for other schemes than those with ``://`` and where a
-    base without ``://`` leaves it relative. Dot segments of relative targets go."""
-    root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
-    place = path_of(base)
-    t = F.when(target.startswith("?") | target.startswith("#"), F.concat(place, F.when(target.startswith("#"), F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)).otherwise(""), target))
-    t = t.when(target.startswith("/"), target).otherwise(F.concat(F.when(place == "", "/").otherwise(F.regexp_replace(place, "[^/]*$", "")), target))
-    path, rest = F.regexp_extract(t, r"(?s)^[^?#]*", 0), F.regexp_extract(t, r"(?s)^[^?#]*(.*)", 1)
+def _without_dots(url: Column) -> Column:
+    """A path with what follows it, without ``.`` and ``..`` segments."""
+    path, rest = F.regexp_extract(url, r"(?s)^[^?#]*", 0), F.regexp_extract(url, r"(?s)^[^?#]*(.*)", 1)
     steps = F.aggregate(
         F.split(F.substr(path, F.lit(2)), "/"),
         F.array().cast("array<string>"),
         lambda to, s: F.when(s == "..", F.slice(to, F.lit(1), F.greatest(F.size(to) - 1, F.lit(0)))).when(s == ".", to).otherwise(F.concat(to, F.array(s))),
     )
-    last = F.when(path.rlike(r"/\.\.?$") & (F.size(steps) > 0), "/").otherwise("")
-    plain = F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(steps, "/"), last)).otherwise(path)
-    return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.rlike(r"^[^:]*://"), target))
-        .when(root == "", F.lit(None))
-        .when(target.startswith("//"), F.concat(F.regexp_extract(root, r"(?s)^(.*?:)//", 1), target))
-        .otherwise(F.concat(root, plain, rest))
-    )
+    plain = _let(steps, lambda s: F.concat(F.lit("/"), F.array_join(s, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(s) > 0), "/").otherwise("")))
+    return F.concat(F.when(path.rlike(r"/\.\.?(?:/|$)"), plain).otherwise(path), rest)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """``target`` as an absolute url, read as a link on a page at ``base``; null for other schemes than those with ``://`` and where a
+    base without ``://`` leaves it relative. Dot segments of relative targets go."""
+
+    def of(to: Column, at: Column) -> Column:
+        root, place = F.regexp_extract(at, r"(?s)^.*?://[^/?#]*", 0), path_of(at)
+        joined = F.when(to.startswith("?"), F.concat(place, to))
+        joined = joined.when(to.startswith("#"), F.concat(place, F.regexp_extract(at, r"(?s)^[^?#]*(\?[^#]*)", 1), to))
+        joined = joined.when(to.startswith("/"), to).otherwise(F.concat(F.when(place == "", "/").otherwise(F.regexp_replace(place, "[^/]*$", "")), to))
+        return (
+            F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(to.rlike(r"^[^:]*://"), to))
+            .when(root == "", F.lit(None))
+            .when(to.startswith("//"), F.concat(F.regexp_extract(root, r"(?s)^(.*?:)//", 1), to))
+            .otherwise(F.concat(root, _let(joined, _without_dots)))
+        )
+
+    return _let(target, lambda to: _let(base, lambda at: of(to, at)))
 
 
 def declared_targets(html: Column, url: Column) -> Column:
     """The urls, made absolute, that a page names as its canonical address or sends its reader to: of all its tags, seen from its
     ``<base>`` if it has one, else from its own url. Tags within comments do not count; ``&amp;`` in a target is ``&``."""
-    html = F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(html)
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>?"), F.lit(0)), lambda tag: F.array_contains(F.split(fold(_attribute(tag, "rel")), r"\s+"), "canonical"))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>?"), F.lit(0)), lambda tag: F.trim(fold(_attribute(tag, "http-equiv"))) == "refresh")
-    named = F.concat(F.transform(links, lambda tag: F.trim(_attribute(tag, "href"))), F.transform(metas, lambda tag: F.regexp_extract(tag, r"""(?is)url\s*=\s*['"]?([^'"\s>;]+)""", 1)))
-    base = _attribute(F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\b[^>]*>?", 0), "href")
-    base = F.coalesce(resolve(F.trim(base), url), url)
-    return F.filter(F.transform(F.filter(named, lambda u: u != ""), lambda u: resolve(F.regexp_replace(u, "&(?:amp|#38);", "&"), base)), lambda u: u.isNotNull())
+
+    def of(page: Column) -> Column:
+        links = F.filter(F.regexp_extract_all(page, F.lit(r"(?is)<link\b[^>]*>?"), F.lit(0)), lambda tag: F.array_contains(F.split(fold(_attribute(tag, "rel")), r"\s+"), "canonical"))
+        metas = F.filter(F.regexp_extract_all(page, F.lit(r"(?is)<meta\b[^>]*>?"), F.lit(0)), lambda tag: F.trim(fold(_attribute(tag, "http-equiv"))) == "refresh")
+        named = F.concat(F.transform(links, lambda tag: F.trim(_attribute(tag, "href"))), F.transform(metas, lambda tag: F.regexp_extract(tag, r"""(?is)url\s*=\s*['"]?([^'"\s>;]+)""", 1)))
+        base = F.trim(_attribute(F.regexp_extract(page, r"(?is)<base\b[^>]*\bhref\b[^>]*>?", 0), "href"))
+        targets = F.transform(F.filter(named, lambda u: u != ""), lambda u: F.regexp_replace(u, "&(?:amp|#38);", "&"))
+        return _let(F.coalesce(resolve(base, url), url), lambda at: F.filter(F.transform(targets, lambda u: resolve(u, at)), lambda u: u.isNotNull()))
+
+    return _let(F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(html), of)
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
@@ -127,8 +142,11 @@ def page_edges(pages: DataFrame, url: str = "url", html: str | None = "html") ->
     spelling = rows.select("url").distinct().select(F.col("url").alias("a"), normal_form(F.col("url")).alias("b"))
     if not html:
         return spelling
-    named = rows.select("url", F.explode(declared_targets(F.col("html"), F.col("url"))).alias("to"))
-    return spelling.unionByName(named.select(normal_form(F.col("url")).alias("a"), normal_form(F.col("to")).alias("b"))).unionByName(named.select(F.col("to").alias("a"), normal_form(F.col("to")).alias("b")))
+    # a tag that counts holds one of these words
+    tagged = rows.where(F.col("html").rlike("(?i)canonical|refresh"))
+    named = tagged.select("url", F.explode(declared_targets(F.col("html"), F.col("url"))).alias("to"))
+    ends = named.select(normal_form(F.col("url")).alias("from"), "to", normal_form(F.col("to")).alias("b"))
+    return spelling.unionByName(ends.select(F.explode(F.array("from", "to")).alias("a"), "b"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html", key: str = "page_id") -> DataFrame:
