@@ -87,7 +87,7 @@ def _token_sets(piece: pa.RecordBatch, n: int) -> tuple[list[np.ndarray], np.nda
 
 
 def _signatures(j: Join, kept: str):
-    """doc_id -> size and two hashes of its set, the paths of level 1 and the sketch; the tokens themselves are not kept. Columns
+    """row_id -> size and two hashes of its set, the paths of level 1 and the sketch; the tokens themselves are not kept. Columns
     after the text come back behind."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,24 +109,24 @@ def _signatures(j: Join, kept: str):
             sketch = [(t[: j.sketch] >> U64(32)).astype(np.uint32).view(np.int32) for t in sets]
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(sizes.astype(np.int32)), *(pa.array(signed(x)) for x in sums), _lists(signed(paths[order]), np.bincount(docs, minlength=len(sizes))), _lists(np.concatenate(sketch), np.array([len(x) for x in sketch])), *piece.columns[2:]],
-                names=["doc_id", "size", "k1", "k2", "paths", "sketch", *piece.schema.names[2:]],
+                names=["row_id", "size", "k1", "k2", "paths", "sketch", *piece.schema.names[2:]],
             )
 
-    return run, f"doc_id long, size int, k1 long, k2 long, paths array<long>, sketch array<int>, {kept}"
+    return run, f"row_id long, size int, k1 long, k2 long, paths array<long>, sketch array<int>, {kept}"
 
 
 def _tokens_of(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
-    """(doc_id, k1, k2, tokens) of the documents listed in ``wanted`` (doc_id), read from their texts again.
+    """(row_id, k1, k2, tokens) of the rows listed in ``wanted`` (row_id), read from their texts again. A row_id may stand for several texts.
 
     While the list is short it goes to the executors and no text moves; beyond ``max_listed`` texts are joined with it.
     """
-    wanted = wanted.select("doc_id").distinct()
+    wanted = wanted.select("row_id").distinct()
     listed = None
     if wanted.count() <= j.max_listed:
         # at most max_listed numbers
-        listed = np.sort(wanted.toArrow().column("doc_id").to_numpy())
+        listed = np.sort(wanted.toArrow().column("row_id").to_numpy())
     else:
-        docs = docs.join(wanted, "doc_id", "left_semi")
+        docs = docs.join(wanted, "row_id", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +136,9 @@ def _tokens_of(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
                 batch = batch.filter(pa.array(listed[at] == ids if len(listed) else np.zeros(len(ids), bool)))
             for piece in pieces([batch], "text"):
                 sets, sums = _token_sets(piece, j.n)
-                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(signed(x)) for x in sums), _lists(signed(np.concatenate(sets)), np.array([len(t) for t in sets]))], names=["doc_id", "k1", "k2", "tokens"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(signed(x)) for x in sums), _lists(signed(np.concatenate(sets)), np.array([len(t) for t in sets]))], names=["row_id", "k1", "k2", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, tokens array<long>")
+    return docs.select("row_id", "text").mapInArrow(run, "row_id long, k1 long, k2 long, tokens array<long>")
 
 
 def _arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -360,8 +360,9 @@ def _leaves(docs: DataFrame, reps: DataFrame, j: Join, store: Store) -> DataFram
             break
         paths = large.groupBy("doc_id").agg(F.collect_set("path").alias("paths"))
         run, schema = _next_buckets(j, level)
-        # rows that share a doc_id are told apart by the hashes of their sets
-        sets = _tokens_of(docs, large, j).join(reps.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
+        wanted = store.put(reps.select("doc_id", "row_id").join(large, "doc_id", "left_semi").select("row_id"), "wanted")
+        # rows that share an id are told apart by the hashes of their sets
+        sets = _tokens_of(docs, wanted, j).join(reps.select("doc_id", "row_id", "k1", "k2"), ["row_id", "k1", "k2"])
         children = sets.select("doc_id", "tokens").join(paths, "doc_id").mapInArrow(run, schema)
         parents = store.put(large.select(F.col("path").alias("parent"), F.col("n").alias("parent_n")).distinct(), "parents")
         rows = store.put(children.distinct().join(parents, "parent").select("doc_id", "path", "parent_n", F.lit(None).cast("int").alias("least")), "buckets")
@@ -375,8 +376,10 @@ def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: s
 
     Words are runs of bytes other than space and tab to carriage return, taken unchanged. A text of fewer words than a
     token is one token of all its words; a null, empty or blank text has none, links with nothing and is its own class.
-    Repeated rows are copies of each other. A row without a key takes part under a number of 2**62 or more made from its
-    text, which names a class only if none of its rows has a key. An empty table gives an empty result. Other columns are ignored.
+    Repeated rows are copies of each other; rows that share a key but differ in their sets are documents of their own. A row
+    without a key takes part under a number of 2**62 or more made from its text, and so does a set whose least key is that of
+    another set too, all but one. Such a number names a class only if none of its sets has a key of its own. An empty table gives
+    an empty result. Other columns are ignored.
     """
     keep = keep or []
     store = Store(docs.sparkSession, "chosen-path")
@@ -384,13 +387,19 @@ def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: s
     made = F.lit(1 << 62) + F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
     kept = docs.select(own.alias("key"), *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)))
     run, schema = _signatures(j, ", ".join(f"{c} {kind}" for c, kind in kept.dtypes))
-    rows = docs.select(F.coalesce(own, made).alias("doc_id"), F.col(text).alias("text"), own.alias("key"), *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)))
+    rows = docs.select(F.coalesce(own, made).alias("row_id"), F.col(text).alias("text"), own.alias("key"), *(F.col(f"`{k}`").alias(f"keep_{i}") for i, k in enumerate(keep)))
     signatures = store.put(rows.mapInArrow(run, schema), "signatures")
     same = ["k1", "k2", "size"]
-    classes = store.put(signatures.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("weight")), "classes")
+    classes = store.put(signatures.where("size > 0").groupBy(*same).agg(F.min("row_id").alias("row_id"), F.count("*").alias("weight")), "classes")
+    # an id names one set; the others that it is the least id of go by numbers of their own
+    shared = classes.groupBy("row_id").agg(F.min(F.struct(*same)).alias("named"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    shared = store.put(shared, "shared-ids")
+    other = F.lit(1 << 62) + F.xxhash64("row_id", *same).bitwiseAND(F.lit((1 << 62) - 1))
+    classes = classes.join(shared, "row_id", "left").withColumn("doc_id", F.when(F.col("named") != F.struct(*same), other).otherwise(F.col("row_id"))).drop("named")
+    classes = store.put(classes, "named-classes")
     # one set of each class, by its least document
-    reps = signatures.join(classes.withColumnRenamed("copy_id", "doc_id"), ["doc_id", *same])
-    reps = store.put(reps.dropDuplicates(["doc_id", *same]), "representatives")
+    reps = signatures.join(classes, ["row_id", *same])
+    reps = store.put(reps.dropDuplicates(["row_id", *same]), "representatives")
 
     leaves = _leaves(rows, reps, j, store)
     cells = _in_cells(_blocked(leaves.join(reps.select("doc_id", "sketch"), "doc_id"), max(j.block, j.bucket)).select("group", "x", "y", "side", "doc_id", "sketch"))
@@ -399,17 +408,17 @@ def similar_groups(docs: DataFrame, j: Join = Join(), text: str = "text", key: s
 
     sizes = store.put(families.groupBy("root").agg(F.count("*").alias("n")), "family-sizes")
     members = families.join(sizes, "root").select(F.col("root").alias("group"), F.col("node").alias("doc_id"), "n")
-    members = members.join(reps.select("doc_id", "weight", "k1", "k2"), "doc_id")
-    members = members.join(_tokens_of(rows, families.select(F.col("node").alias("doc_id")), j), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
+    members = store.put(members.join(reps.select("doc_id", "row_id", "weight", "k1", "k2"), "doc_id"), "members")
+    members = members.join(_tokens_of(rows, members, j), ["row_id", "k1", "k2"]).dropDuplicates(["row_id", "k1", "k2"])
     run, schema = _verify(j)
     cells = _in_cells(_blocked(members, j.block).select("group", "x", "y", "side", "doc_id", "weight", "tokens"))
     found = store.put(cells.mapInArrow(run, schema), "links")
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "copy_id")
     groups = connected_components(found.where("b is not null").select("a", "b"), store).toDF("copy_id", "root")
 
-    verdicts = classes.join(links, "copy_id", "left").join(groups, "copy_id", "left")
+    verdicts = classes.withColumnRenamed("doc_id", "copy_id").join(links, "copy_id", "left").join(groups, "copy_id", "left")
     verdicts = verdicts.select(*same, "copy_id", F.coalesce("root", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     verdicts = store.put(verdicts, "verdicts")
-    out = signatures.select("doc_id", *same, "key", *(f"keep_{i}" for i in range(len(keep)))).join(verdicts, same, "left")
-    cols = [F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("size").cast("long").alias("n_tokens")]
+    out = signatures.select("row_id", *same, "key", *(f"keep_{i}" for i in range(len(keep)))).join(verdicts, same, "left")
+    cols = [F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("copy_id", "row_id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("size").cast("long").alias("n_tokens")]
     return out.select(F.col("key").alias("doc_id"), *cols, *(F.col(f"keep_{i}").alias(k) for i, k in enumerate(keep)))

@@ -253,6 +253,17 @@ def test_similar_groups(spark):
     got = similar_groups(frame(spark, rows), Join(bucket=16, block=32, max_listed=0)).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((d, find(d), links[d]) for d in sets)
     assert similar_groups(frame(spark, rows).limit(0)).count() == 0
+    # one id for two texts of the family, a copy of another document and a text of its own
+    odd = [(2, rows[60][1]), (2, rows[61][1]), (2, rows[3][1]), (2, "these seven words stand here only once")]
+    for listed in (1_000_000, 0):
+        got = similar_groups(frame(spark, rows + odd), Join(bucket=16, block=32, max_listed=listed), keep=["text"]).collect()
+        of = lambda d, t: next(r for r in got if (r.doc_id, r.text) == (d, t))  # noqa: E731,B023
+        assert len(got) == len(rows) + 4 and of(*odd[0]).class_id == of(500, odd[0][1]).class_id == of(501, odd[1][1]).class_id
+        assert of(500, odd[0][1]).n_links == links[500] + 1 + (20 * len(sets[500] & sets[501]) >= 16 * len(sets[500] | sets[501]))
+        assert of(*odd[2]).class_id == of(3, odd[2][1]).class_id == of(700, odd[2][1]).class_id and of(3, odd[2][1]).n_links == links[3] + 1
+        own = of(*odd[3])
+        assert own.n_links == 0 and sum(r.class_id == own.class_id for r in got) == 1
+        assert len({of(*o).class_id for o in [*odd[1:], rows[2]]}) == 4
     assert runs_needed(0.8, 4.0, 0.99999) == 4
 
 
