@@ -66,6 +66,13 @@ def shrunk(page: pd.Series, budget: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else shrink(p, int(b)) for p, b in zip(page, budget, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def ln(x: pd.Series) -> pd.Series:
+    """Natural logarithm as the C library rounds it, of positive numbers. The JVM's differs in the last bit of some, as may NumPy's, and
+    with it the order of scores that are equal but for rounding."""
+    return x.astype("float64").map(math.log)
+
+
 def classify(text: str | None) -> str:
     """empty, json or text: JSON only if the whole text is one object or array."""
     t = (text or "").strip()

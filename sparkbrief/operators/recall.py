@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import occurrences, truncate_bytes
-from ..functions.udfs import shrunk, snippet
+from ..functions.udfs import ln, shrunk, snippet
 from ..plans.shared import written
 from ..schema import Recall
 from .messages import texts
@@ -120,7 +120,7 @@ def hits(blocks: DataFrame, r: Recall, by: str = "session_id") -> DataFrame:
     found = d.where("hit").join(stats, by)
     score: Column = F.lit(0.0) if words else F.lit(1.0)
     for i in range(len(words)):
-        score = score + F.log1p(f"n_{i}") * F.greatest(F.log(F.col("searched") / F.greatest(F.col(f"df_{i}"), F.lit(1))), F.lit(0.5))
+        score = score + ln(1.0 + F.col(f"n_{i}")) * F.greatest(ln(F.col("searched") / F.greatest(F.col(f"df_{i}"), F.lit(1))), F.lit(0.5))
     return found.select("session_id", "seq", "entry_id", "role", "ts", "searched", "total", score.alias("score"), "matched_terms", "pos")
 
 

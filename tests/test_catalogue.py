@@ -38,3 +38,18 @@ def test_against_sql(spark, name):
     want = con.sql(sql)
     assert cols == sorted(want.columns)
     assert rows == sorted(map(str, want.select(*cols).fetchall()))
+
+
+def test_scores_equal_but_for_rounding_rank_as_in_sql(spark, tmp_path):
+    """Products (1 + n)(1 + m) are the same within a conversation, so the last bits of the logarithms decide."""
+    from sparkbrief import catalogue
+
+    said = [[(a - 1, p // a - 1) for a in range(2, p) if p % a == 0 and p // a > 1] for p in range(12, 400, 4)]
+    rows = [(c, t, "user", "the " * n + "ent " * m) for c, pairs in enumerate(said) for t, (n, m) in enumerate(pairs)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    con.sql(f"create view events as select * from '{SF}/events.parquet'")
+    want = con.sql(catalogue.oracle_sql()["recall_terms_topk"])
+    got = catalogue.queries()["recall_terms_topk"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
