@@ -17,6 +17,11 @@ def utrim_end(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+\z", "")
 
 
+def space_trim_end(c: Column) -> Column:
+    """Without the spaces (Unicode category Zs) at the end, as SQL's rtrim: tabs and line ends stay."""
+    return F.regexp_replace(c, r"\p{Zs}+\z", "")
+
+
 def utrim_start(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+", "")
 

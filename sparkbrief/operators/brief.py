@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,8 +125,8 @@ def present(sections: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     return d.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("title")).alias("k"), "title"))), lambda x: x["title"]), ", ").alias("sections"))
 
 
-def render(sections: DataFrame, windows: DataFrame, recall_name: str = "recall") -> DataFrame:
-    """(session_id, summary): the text of each session's brief."""
+def render(sections: DataFrame, windows: DataFrame, recall_name: str = "recall", end: Callable[[Column], Column] = utrim_end) -> DataFrame:
+    """(session_id, summary): the text of each session's brief. ``end`` trims what its last line, which may be cut anywhere, ends with."""
     rows = None
     for k, (title, names) in enumerate(TITLES):
         for j, name in enumerate(names):
@@ -135,5 +137,5 @@ def render(sections: DataFrame, windows: DataFrame, recall_name: str = "recall")
     t = t.unionByName(note.select("session_id", F.lit(len(TITLES)).alias("k"), F.lit(0).alias("j"), F.lit(0).alias("ord"), F.lit("Transcript").alias("title"), F.format_string(f"- (%d earlier lines omitted; full history recoverable via {recall_name})", "omitted").alias("line")))
     rows = rows.unionByName(t)
     part = rows.groupBy("session_id", "k", "title").agg(F.array_join(F.array_sort(F.collect_list(F.struct("j", "ord", "line")))["line"], "\n").alias("body"))
-    part = part.withColumn("body", F.concat(F.lit("["), "title", F.lit("]\n"), "body", F.lit("\n")))
-    return part.groupBy("session_id").agg(utrim_end(F.array_join(F.array_sort(F.collect_list(F.struct("k", "body")))["body"], "\n")).alias("summary"))
+    part = part.withColumn("body", F.concat(F.lit("["), "title", F.lit("]\n"), "body"))
+    return part.groupBy("session_id").agg(end(F.array_join(F.array_sort(F.collect_list(F.struct("k", "body")))["body"], "\n\n")).alias("summary"))

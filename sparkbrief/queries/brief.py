@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import space_trim_end
 from ..operators import brief, sections
 from ..plans import compact
 from ..schema import Compact
@@ -86,8 +87,9 @@ def brief_sections_present(spark, sf_dir):
     cc AS (SELECT session_id, '[Commits]' || chr(10) || string_agg('- ' || item, chr(10) ORDER BY o) || chr(10) || chr(10) AS t FROM cr WHERE o <= 8 GROUP BY session_id)
     SELECT x.session_id, rtrim(coalesce(cc.t, '') || '[Transcript]' || chr(10) || x.t) AS summary FROM x LEFT JOIN cc ON x.session_id = cc.session_id""")
 def brief_text(spark, sf_dir):
+    """Commits and transcripts; a last line that is cut after a line end keeps it."""
     b = derived.blocks(spark, sf_dir)
-    return brief.render(sections.commits(b), brief.transcript_window(b, Transcript(max_lines=30)))
+    return brief.render(sections.commits(b), brief.transcript_window(b, Transcript(max_lines=30)), end=space_trim_end)
 
 
 @register()

@@ -53,3 +53,21 @@ def test_scores_equal_but_for_rounding_rank_as_in_sql(spark, tmp_path):
     want = con.sql(catalogue.oracle_sql()["recall_terms_topk"])
     got = catalogue.queries()["recall_terms_topk"](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_briefs_end_as_in_sql(spark, tmp_path):
+    """Last lines that the limit of 220 bytes cuts after white space: spaces go, tabs and line ends stay."""
+    import shutil
+
+    from sparkbrief import catalogue
+
+    cuts = ("\n", "\n\n", "\t", " ", "  ", " \n", "\n ", "\u3000", "\n\u00a0", "\u00a0\n")
+    rows = [(c, 0, "user", "x" * (220 - len(x.encode())) + x + "more") for c, x in enumerate(cuts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    shutil.copy(f"{SF}/events.parquet", tmp_path)
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    con.sql(f"create view events as select * from '{SF}/events.parquet'")
+    want = con.sql(catalogue.oracle_sql()["brief_text"])
+    got = catalogue.queries()["brief_text"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
